@@ -1,0 +1,5 @@
+"""Reserved: none of the engine's own operators is a streaming one.
+
+The analytics run in batch over whole tables; the one streaming operator of the
+repository belongs to the training-data subpackage.
+"""
