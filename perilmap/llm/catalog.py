@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from . import chat, exact_dedup
 from .packing import op6_best_fit_packing
 from .token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_chat_format": chat.op10_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op10_chat_format": chat.ORACLE,
+}
