@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from . import chat, exact_dedup
+from .decontaminate import op7_decontamination
+from .langid import op9_language_id
 from .packing import op6_best_fit_packing
+from .quality import op4_quality
 from .token_output import op1_token_output
 
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_quality": op4_quality,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_decontamination": op7_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_chat_format": chat.op10_chat_format,
 }
 

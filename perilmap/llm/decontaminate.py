@@ -107,6 +107,8 @@ class Index:
     seen: np.ndarray
     edits: np.ndarray
     bound: np.ndarray
+    widest: int
+    overlap: int
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Index:
@@ -121,11 +123,8 @@ class Index:
         seen[_slot(grams)] = True
         sizes = np.array([len(f) for f in items], dtype=np.int64)
         edits = np.array([budget(len(f)) for f in items], dtype=np.int64)
-        return cls([i for i, _ in rows], items, grams[order], owner[order], place[order], seen, edits, sizes + 1 - Q - Q * edits)
-
-    @property
-    def overlap(self) -> int:
-        return max((len(f) + 3 * e + 3 for f, e in zip(self.items, self.edits, strict=True)), default=0) * 2
+        widest = int(sizes.max(initial=0))
+        return cls([i for i, _ in rows], items, grams[order], owner[order], place[order], seen, edits, sizes + 1 - Q - Q * edits, widest, 2 * (widest + 3 * budget(widest) + 3))
 
     def candidates(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
         """(item, band) whose shared q-grams reach the bound."""
@@ -140,20 +139,27 @@ class Index:
             return
         k = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         owner = self.owner[k]
-        widest = int(max(map(len, self.items)))
-        band = (np.repeat(at, n) - self.place[k] + widest) // (self.edits[owner] + 1)
-        key = (owner << 40) | band
+        place = self.place[k]
+        band = (np.repeat(at, n) - place + self.widest) // (self.edits[owner] + 1)
+        key = (owner << 32) | band
         keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        for x in keys[counts >= self.bound[keys >> 40]].tolist():
-            yield x >> 40, x & ((1 << 40) - 1)
+        full = keys[counts >= self.bound[keys >> 32]]
+        if not len(full):
+            return
+        # A q-gram of the item counts once, however often the band repeats it.
+        key, place = np.concatenate([key, key - 1]), np.concatenate([place, place])
+        mine = np.isin(key, full)
+        once = np.unique(np.stack([key[mine], place[mine]]), axis=1)
+        keys, counts = np.unique(once[0], return_counts=True)
+        for x in keys[counts >= self.bound[keys >> 32]].tolist():
+            yield x >> 32, x & ((1 << 32) - 1)
 
     def matches(self, text: str | None) -> dict[int, tuple[int, int, int]]:
         """Of a text, the best match of each item: (edits, start, length) in the folded text."""
         found: dict[int, tuple[int, int, int]] = {}
         if not text or not self.items:
             return found
-        whole, overlap = folded(text), self.overlap
-        widest = int(max(map(len, self.items)))
+        whole, overlap, widest = folded(text), self.overlap, self.widest
         at = 0
         while True:
             part = whole[at : at + PIECE + overlap]
