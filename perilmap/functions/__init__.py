@@ -1 +1 @@
-
+"""Column expressions: text, taxonomy."""

@@ -1 +1 @@
-
+"""DataFrame-to-DataFrame operators of the risk analytics."""
