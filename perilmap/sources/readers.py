@@ -49,7 +49,7 @@ def read_docx(spark: SparkSession, path: str, failfast: bool = False) -> DataFra
 
 def read_text_directory(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): each file as one row."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema: str | None = None) -> DataFrame:
