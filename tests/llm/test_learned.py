@@ -1,0 +1,166 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from perilmap.llm import decontaminate, langid, quality
+from perilmap.llm.common import held_out, shared_dir, table
+
+# --- quality ------------------------------------------------------------------------------
+
+
+def test_held_out(spark):
+    ids = [*range(50), None]
+    got = spark.createDataFrame([(i,) for i in ids], "doc_id long").select("doc_id", held_out().alias("h")).collect()
+    assert all(r["h"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+
+
+def test_quality_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in quality.op4_quality(spark, sf).collect()}
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, sf, "labels").collect()}
+    held = [i for i in labels if i in rows and rows[i]["held_out"]]
+    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows.values())
+    assert np.mean([rows[i]["predicted"] == labels[i] for i in held]) > 0.95
+
+
+def test_additive_model_learns_an_interaction():
+    rng = np.random.default_rng(1)
+    x = rng.random((3000, len(quality.MEASURES)))
+    y = ((x[:, 3] > 0.5) ^ (x[:, 5] > 0.5)).astype(float)
+    model = quality.fit(x, y)
+    assert tuple(sorted(model.pairs[0])) == (3, 5)
+    fresh = rng.random((1000, len(quality.MEASURES)))
+    assert np.mean((model.score(fresh) > 0.5) == ((fresh[:, 3] > 0.5) ^ (fresh[:, 5] > 0.5))) > 0.9
+
+
+def test_quality_edge_cases(spark):
+    docs = spark.createDataFrame([(1, "a good text", 1.0), (2, None, 1.0), (3, "", 1.0), (None, "x " * 200_000, 1.0), (1, "a good text", 1.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, quality int")
+    features, model = quality.learn(docs, labels, shared_dir(spark, "q"))
+    assert quality.scored(features, model).count() == 5 and quality.keep_good(docs, model).columns == docs.columns
+    none, _ = quality.learn(docs.limit(0), labels, shared_dir(spark, "q"))
+    assert none.count() == 0
+    assert quality.fit(np.empty((0, len(quality.MEASURES))), np.empty(0)).score(np.zeros((1, len(quality.MEASURES))))[0] > 0.99
+    assert np.isfinite(quality.measures(" \n\n ")).all() and np.isfinite(quality.measures("\nx\n\ny y\n")).all()
+
+
+# --- language -----------------------------------------------------------------------------
+
+
+def test_language_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    lang = {r["doc_id"]: r["lang"] for r in table(spark, sf, "documents").select("doc_id", "lang").collect()}
+    rows = langid.op9_language_id(spark, sf).collect()
+    assert len(rows) == len(lang) and all(0 <= r["score"] <= 1 for r in rows)
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"]]) > 0.97
+
+
+def test_counts_against_sets():
+    """The bit-sliced filters find what plain sets find, up to their false positives."""
+    rng = random.Random(2)
+    samples = {"x": ["".join(rng.choice("abcd ") for _ in range(400)) for _ in range(5)], "y": ["".join(rng.choice("cdef ") for _ in range(400)) for _ in range(5)]}
+    model = langid.fit(samples)
+    sets = {}
+    for name, texts in samples.items():
+        codes, n = np.unique(np.concatenate([langid.grams(langid.folded(t)) for t in texts]), return_counts=True)
+        sets[name] = set(codes[n >= langid.MIN_COUNT].tolist()) - {0x20202020}
+    text = "".join(rng.choice("abcdef ") for _ in range(3000))
+    total, found = model.counts([text, "other"])
+    for bit, name in enumerate(model.languages):
+        want = sum(c in sets[name] for c in langid.grams(langid.folded(text)).tolist())
+        assert abs(found[0, bit] - want) <= 3
+    assert total[0] == len(text) + 4 - langid.GRAM + 1
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    model = langid.fit({"x": ["abc abd " * 50], "y": ["xyz xyw " * 50]})
+    texts = ["abc abd " * 300, "xyz " * 10, ""]
+    whole = model.counts(texts)
+    monkeypatch.setattr(langid, "BLOCK", 64)
+    cut = model.counts(texts)
+    assert np.allclose(whole[0], cut[0]) and np.allclose(whole[1], cut[1])
+
+
+def test_language_edge_cases(spark):
+    rows = [(i, "der die das " * 5, "de", "x") for i in range(30)] + [(100 + i, "the and of " * 5, "en", "x") for i in range(30)] + [(300, None, "en", "x"), (301, "12 34 !!", None, "x"), (None, "the and", None, "x"), (302, "", "de", "x"), (303, "日本", None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    got = {r["doc_id"]: r for r in langid.identify(df, langid.fit(langid.training_sample(df))).collect()}
+    assert len(got) == len(rows)
+    assert {got[i]["lang_pred"] for i in (300, 301, 302)} == {"und"} and got[None]["lang_pred"] == "en" and got[5]["lang_pred"] == "de" and got[303]["lang_pred"] in ("de", "en")
+    untaught = df.select("doc_id", "text").selectExpr("*", "CAST(NULL AS STRING) AS lang")
+    assert {r["lang_pred"] for r in langid.identify(untaught, langid.fit(langid.training_sample(untaught))).collect()} == {"und"}
+    assert langid.identify(df.limit(0), langid.fit({})).count() == 0
+
+
+# --- decontamination ----------------------------------------------------------------------
+
+
+def semi_global(pattern, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern):
+        new = [i + 1]
+        for j, d in enumerate(text):
+            new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def edited(rng, item, n):
+    out = list(item)
+    for _ in range(n):
+        k = rng.randrange(len(out))
+        out[k : k + 1] = rng.choice([[], [rng.choice("abcde ")], [out[k], rng.choice("abcde ")]])
+    return "".join(out)
+
+
+def words(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lemma_loses_nothing(seed):
+    rng = random.Random(seed)
+    items = [(k, words(rng, rng.randint(4, 30))) for k in range(12)]
+    index = decontaminate.Index.of(items)
+    for _ in range(25):
+        k, item = rng.choice(items)
+        text = words(rng, rng.randint(0, 40)) + " " + edited(rng, item, rng.randint(0, len(item) // 8)) + " " + words(rng, rng.randint(0, 40))
+        found = index.matches(text)
+        folded = decontaminate.folded(text)
+        for j, (_, i) in enumerate(items):
+            f = decontaminate.folded(i)
+            want = semi_global(f, folded)
+            if want <= decontaminate.budget(len(f)):
+                assert found[j][0] == want
+                at, n = found[j][1:]
+                assert semi_global(f, folded[at : at + n]) == want
+            else:
+                assert j not in found
+
+
+def test_disguise_long_texts_and_pieces(monkeypatch):
+    rng = random.Random(9)
+    item = words(rng, 20)
+    index = decontaminate.Index.of([(1, item), (2, "short"), (3, None), (4, item)])
+    disguised = "!! ".join(item.upper().split())
+    assert set(index.matches(disguised)) == {0, 1} and index.matches(words(rng, 300)) == {} and index.matches(None) == {} and index.matches("") == {}
+    monkeypatch.setattr(decontaminate, "PIECE", 500)
+    for pad in (0, 480, 500, 2990):
+        assert index.matches("z" * pad + " " + item + " " + words(rng, 2000))[0][0] == 0
+
+
+def test_contaminated(spark):
+    rng = random.Random(4)
+    items = [(k, words(rng, 15), "x") for k in range(6)]
+    rows = [(1, words(rng, 50) + " " + items[2][1], 0), (2, words(rng, 50), 0), (3, None, 0), (None, items[1][1], 0), (1, items[2][1], 0), (4, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame(items, "item_id long, text string, doc_id string")
+    for block in (decontaminate.BLOCK_CHARS, 100):
+        got = sorted(((r["doc_id"] or -1, r["item_id"], r["edits"]) for r in decontaminate.contaminated(docs, bench, shared_dir(spark, "d"), block).collect()))
+        assert got == [(-1, 1, 0), (1, 2, 0), (1, 2, 0)]
+        clean = decontaminate.drop_contaminated(docs, bench, block)
+        assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4]
+    assert decontaminate.contaminated(docs, bench.limit(0), shared_dir(spark, "d")).count() == 0
+    assert decontaminate.contaminated(docs.limit(0), bench, shared_dir(spark, "d")).count() == 0

@@ -1,0 +1,122 @@
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from perilmap.llm import packing, token_output, tokens
+from perilmap.llm.common import shared_dir
+
+WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
+ODD = [
+    "", " ", "a", " a", "a ", "a  b", "a \n b", "a\n\nb", "x\n \ny", "don't I'll we're", "ΣΑΣ Σ", "İstanbul", "a b", "é x", "<|endoftext|> hi", "###!! 'S 's", "tab\tx", "a\r\nb",
+    "naïve Über straße", "日本語 テスト", "foo\x1cbar", "a　b", "x'. it's", "\n", "a\n", "\nb", "emoji 😀 ok", "Word, word. Word; 12 345",
+]
+
+
+@pytest.fixture(scope="module", params=[WORDS, BYTES])
+def enc(request):
+    return tokens.Encoder(tokens.vocabulary_path(request.param))
+
+
+def plain(enc, texts):
+    return [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_odd_texts(enc):
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(ODD)] == plain(enc, ODD)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abcéÉßñ .,'!\n\t12ΣAZ ́　", max_size=25), max_size=6))
+def test_same_ids_as_the_library(texts):
+    for name in (WORDS, BYTES):
+        e = tokens.encoder(tokens.vocabulary_path(name))
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == plain(e, texts)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, start string")
+
+
+ROWS = [(5, "five words are here now", "x"), (1, None, "x"), (3, "", None), (None, "no id", "x"), (3, "twice", "x"), (9, "long text " * 3000, "x"), (5, "five words are here now", "x")]
+
+
+def test_token_output(spark):
+    enc = tokens.Encoder(tokens.vocabulary_path(WORDS))
+    manifest = token_output.write_shards(frame(spark, ROWS), shared_dir(spark, "t"), tokens.vocabulary_path(WORDS), sequence=16, batch=4)
+    rows = token_output.read_documents(manifest).orderBy("start").collect()
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    ids = [x + [2] for x in plain(enc, [r[1] or "" for r in order])]
+    assert [r["doc_id"] for r in rows] == [r[0] for r in order]
+    assert [r["n_tokens"] for r in rows] == list(map(len, ids))
+    assert [r["start"] for r in rows] == [sum(map(len, ids[:k])) for k in range(len(ids))]
+    assert [r["ids_crc32"] for r in rows] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+    seen = []
+    for m in manifest.orderBy("first_id").collect():
+        shard = token_output.Shard(m["shard"])
+        for i in range(len(shard)):
+            one, mask = shard.sequence(i)
+            assert len(one) == 16
+            seen += one[mask].tolist()
+    assert sorted(seen) == sorted(t for x in ids for t in x)
+
+
+def test_token_output_of_nothing(spark):
+    manifest = token_output.write_shards(frame(spark, []), shared_dir(spark, "t"), tokens.vocabulary_path(WORDS))
+    assert token_output.read_documents(manifest).count() == 0
+
+
+def test_cut():
+    assert packing.cut(10, 4) == [(0, 2), (2, 4), (6, 4)] and packing.cut(8, 4) == [(0, 4), (4, 4)] and packing.cut(4, 4) == [(0, 4)]
+
+
+@given(st.lists(st.integers(1, 64), max_size=200))
+def test_best_fit(lengths):
+    bins, offsets, fills = packing.best_fit(np.array(lengths, dtype=np.int64), 64)
+    assert all(f <= 64 for f in fills) and sum(fills) == sum(lengths)
+    for b in range(len(fills)):
+        inside = sorted((o, n) for x, o, n in zip(bins, offsets, lengths, strict=True) if x == b)
+        at = 0
+        for o, n in inside:
+            assert o == at
+            at += n
+        assert at == fills[b]
+    assert sum(1 for f in fills if f <= 32) <= 1  # two bins at most half full would have been one
+
+
+def test_packing(spark):
+    enc = tokens.Encoder(tokens.vocabulary_path(BYTES))
+    rows = ROWS + [(100 + i, "word " * (i % 37), "x") for i in range(300)]
+    out = packing.pack(frame(spark, rows).repartition(8), tokens.vocabulary_path(BYTES), shared_dir(spark, "p"), capacity=256, nearly_full=256, with_ids=True).collect()
+    ids = [x + [2] for x in plain(enc, [r[1] or "" for r in rows])]
+    assert sum(r["length"] for r in out) == sum(map(len, ids))
+    by_sequence = {}
+    for r in out:
+        assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"]
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_sequence.values():
+        at = 0
+        for o, n in sorted(places):
+            assert o == at
+            at += n
+        assert at <= 256
+    assert len(by_sequence) <= 1.02 * (sum(map(len, ids)) / 256) + 1
+    assert {(r["piece"], r["start"], r["length"]) for r in out if r["doc_id"] == 9} == {(k, s, n) for k, (s, n) in enumerate(packing.cut(len(ids[5]), 256))}
+    assert packing.pack(frame(spark, []), tokens.vocabulary_path(BYTES), shared_dir(spark, "p")).count() == 0
+
+
+def test_tree_of_many_groups(spark):
+    bins = spark.range(2000).selectExpr("id AS bin", "1 + id % 100 AS fill")
+    placed = packing.merge_underfull(bins, shared_dir(spark, "m"), capacity=128, nearly_full=128, group_items=1600).collect()
+    fill = {}
+    for r in placed:
+        fill.setdefault(r["root"], []).append((r["shift"], 1 + r["bin"] % 100))
+    for places in fill.values():
+        at = 0
+        for s, n in sorted(places):
+            assert s == at
+            at += n
+        assert at <= 128
+    assert len(placed) == 2000 and len(fill) <= 1.05 * sum(1 + i % 100 for i in range(2000)) / 128
