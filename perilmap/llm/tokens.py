@@ -11,17 +11,20 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import unicodedata
 
 import numpy as np
 
-#: Words one worker remembers before it forgets all of them; about 100 MB.
+#: Words one worker remembers, in two generations; about 100 MB. When the younger is full the
+#: older is forgotten, but words met again have moved to the younger before.
 CACHED_WORDS = 500_000
 #: Words handed to the library in one call.
-_JOINED = 64
+_JOINED = 512
 _ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-_RUN = re.compile(r"\s\s")
+#: Where none of these is, every white space is a lone space or line break.
+_RUNS = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -41,7 +44,12 @@ class Encoder:
         self.tok.encode_special_tokens = True  # control strings inside a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         vocab = self.tok.get_vocab(with_added_tokens=True)
+        # The same model for words of letters that are in their final form: it only cuts at spaces.
+        at_spaces = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed" if spec["model"].get("end_of_word_suffix") else "MergedWithNext", "invert": False}
+        as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.spaced = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [at_spaces, as_bytes]}}))
         self.size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -52,6 +60,7 @@ class Encoder:
             edge[i] = piece.endswith("</w>") if self.word_end else piece.startswith("Ġ")
         self.edge = edge
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.newline = self.tok.token_to_id("Ċ")
         self.cached_words = cached_words
@@ -60,14 +69,16 @@ class Encoder:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _letters(self, words: list[str], newline: bool = False) -> None:
-        """Encode words of letters only, several in a call; the vocabulary marks where one ends.
+        """Encode words of letters only, many in a call; the vocabulary marks where one ends.
 
         ``newline``: each of the words follows a line break that belongs to it.
         """
-        for at in range(0, len(words), _JOINED):
-            some = words[at : at + _JOINED]
-            text = "".join(some) if newline else " ".join(some) if self.word_end else " " + " ".join(some)
-            ids = np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+        groups = [words[at : at + _JOINED] for at in range(0, len(words), _JOINED)]
+        led = "" if newline or self.word_end else " "
+        tok = self.tok if newline else self.spaced
+        encoded = tok.encode_batch_fast([led + ("" if newline else " ").join(g) for g in groups], add_special_tokens=False)
+        for some, e in zip(groups, encoded, strict=True):
+            ids = np.asarray(e.ids, dtype=self.dtype)
             marks = np.flatnonzero(ids == self.newline if newline else self.edge[ids])
             ends = marks + 1 if self.word_end else np.append(marks[1:], len(ids))
             if len(ends) != len(some) or ends[-1] != len(ids):
@@ -82,13 +93,18 @@ class Encoder:
     def _learn(self, unknown: set[str]) -> None:
         letters, led, tailed, rest = set(), set(), [], []
         for w in unknown:
+            if (known := self.older.get(w)) is not None:
+                self.words[w] = known
+                continue
             after_break = self.space_start and w[:1] == "\n"
             core = w[1:] if after_break else w
             if core.isalpha():
                 (led if after_break else letters).add(w)
             elif len(core) > 1 and core[:-1].isalpha() and " " < core[-1] < "\x7f" and not core[-1].isalnum():
                 tailed.append(w)
-                if w[:-1] not in self.words:
+                if w[:-1] in self.older:
+                    self.words[w[:-1]] = self.older[w[:-1]]
+                elif w[:-1] not in self.words:
                     (led if after_break else letters).add(w[:-1])
             else:
                 rest.append(w)
@@ -103,21 +119,24 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str] | None:
         """The words of a text, or None where cutting it could change its ids."""
+        plain = text.isascii() and text.replace("\n", " ").isprintable()
+        if not plain and _ODD.search(text):
+            return None
         if self.word_end:
-            if _ODD.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            if not (plain or unicodedata.is_normalized("NFC", text)):
                 return None
             return text.lower().split()
         if self.space_start:
-            if text[:1].isspace() or text[-1:].isspace() or _ODD.search(text):
+            if text[0].isspace() or text[-1].isspace():
                 return None
-            return _LONE_SPACE.split(text) if _RUN.search(text) else text.replace("\n", " \n").split(" ")
+            return _LONE_SPACE.split(text) if any(r in text for r in _RUNS) else text.replace("\n", " \n").split(" ")
         return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.cached_words:
-            self.words.clear()
+        if len(self.words) > self.cached_words // 2:
+            self.words, self.older = {}, self.words
         out: list[bytes | None] = [None] * len(texts)
-        cuts: list[tuple[int, list[str], list]] = []
+        cuts: list[tuple[int, list[str], bytes, list, list[int]]] = []
         unknown: set[str] = set()
         get = self.words.get
         for i, text in enumerate(texts):
@@ -130,14 +149,17 @@ class Encoder:
                 head, words = self._raw(words[0]), words[1:]
             found = list(map(get, words))
             if None in found:
-                unknown.update(w for w, x in zip(words, found, strict=True) if x is None)
-                cuts.append((i, words, [head]))
+                gaps = [k for k, x in enumerate(found) if x is None]
+                unknown.update([words[k] for k in gaps])
+                cuts.append((i, words, head, found, gaps))
             else:
                 out[i] = head + b"".join(found)
         if unknown:
             self._learn(unknown)
-            for i, words, head in cuts:
-                out[i] = head[0] + b"".join(map(self.words.__getitem__, words))
+            for i, words, head, found, gaps in cuts:
+                for k in gaps:
+                    found[k] = self.words[words[k]]
+                out[i] = head + b"".join(found)
         return out
 
 
