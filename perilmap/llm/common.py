@@ -32,6 +32,16 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let texts travel to Python at most ``rows`` at a time, as a task's memory grows with a batch.
+
+    A session that already asks for fewer keeps its setting.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate folder that no later read needs."""
     jvm = spark.sparkContext._jvm

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shared_dir, table, written
+from .common import shared_dir, small_batches, table, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -143,6 +143,7 @@ def merge_underfull(bins: DataFrame, out_dir: str, capacity: int = CAPACITY, nea
 
 def pack(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = END_ID, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence and place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
+    small_batches(docs.sparkSession)
     pieces = written(pack_locally(docs, tokenizer, end_id, capacity, nearly_full, with_ids), f"{out_dir}/pieces")
     under = pieces.filter((F.col("bin_fill") < nearly_full) & (F.col("bin_offset") == 0)).select("bin", F.col("bin_fill").alias("fill"))
     roots = merge_underfull(under, out_dir, capacity, nearly_full).select(F.col("bin").alias("b"), "root", "shift")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shared_dir, table
+from .common import shared_dir, small_batches, table
 
 SEQUENCE = 1024
 BATCH = 256
@@ -158,6 +158,7 @@ def write_shards(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = EN
             first, n = out.index[0][0], len(out.index)
             yield pa.record_batch([pa.array([uri]), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([out.n_tokens], pa.int64())], ["shard", "first_id", "n_docs", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{out_dir}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{out_dir}/manifest")
