@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import shared_dir, small_batches, table, written
 
 Q = 8
 ERROR_RATE = 0.1
@@ -195,6 +195,7 @@ def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> It
 def contaminated(docs: DataFrame, benchmark: DataFrame, out_dir: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, start, length): each document's best match of each item that it holds."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = None
     for k, index in enumerate(benchmark_blocks(benchmark, block_chars)):
         shared = spark.sparkContext.broadcast(index)
@@ -214,6 +215,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, out_dir: str, block_char
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents without any match; each block filters what the block before has left."""
+    small_batches(docs.sparkSession)
     schema = docs.schema
     at = docs.columns.index("text")
     for index in benchmark_blocks(benchmark, block_chars):

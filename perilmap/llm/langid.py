@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces_of, table
+from .common import held_out, pieces_of, small_batches, table
 
 GRAM = 4
 SLOTS = 1 << 20
@@ -137,6 +137,7 @@ def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS, chars: int
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

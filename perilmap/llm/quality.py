@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, shared_dir, table, written
+from .common import held_out, shared_dir, small_batches, table, written
 from .words import word_hashes
 
 SAMPLE_ROWS = 20_000
@@ -230,6 +230,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
 
 
 def learn(docs: DataFrame, labels: DataFrame, out_dir: str) -> tuple[DataFrame, Model]:
+    small_batches(docs.sparkSession)
     features = written(measured(docs), f"{out_dir}/measures")
     return features, trained(features, labels)
 
