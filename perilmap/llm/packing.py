@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import shared_dir, small_batches, table, written
+from .common import give_back_memory, shared_dir, small_batches, table, written
 
 CAPACITY = 1024
 END_ID = 2
@@ -102,6 +102,7 @@ def pack_locally(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity
                     yield flush()
         if rows:
             yield flush()
+        give_back_memory()
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).mapInArrow(pack, PIECES)
 

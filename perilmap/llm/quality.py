@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, shared_dir, small_batches, table, written
+from .common import give_back_memory, held_out, shared_dir, small_batches, table, written
 from .words import word_hashes
 
 SAMPLE_ROWS = 20_000
@@ -78,6 +78,7 @@ def measured(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows = [measures(t) for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float32()))], ["doc_id", "held_out", "measures"])
+        give_back_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(measure, FEATURES)
 
@@ -225,6 +226,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             if b.num_rows:
                 x = np.stack([measures(t) for t in b.column(at).to_pylist()])
                 yield b.filter(pa.array(shared.value.score(x) >= threshold))
+        give_back_memory()
 
     return docs.mapInArrow(keep, docs.schema)
 
