@@ -7,12 +7,18 @@ can undo it:
 
 - cards (13 to 19 digits, separators kept): all digits but the last are permuted as a
   number, and the last becomes their Luhn digit again;
-- telephone and social security numbers: the digits after a country code are permuted;
+- social security numbers: all digits are permuted;
+- telephone numbers: the digits after a country code, or after the 0 and the digit behind it
+  that start a national number, are permuted. Shapes: an area code in parentheses; ``+`` and 8
+  to 15 digits; ``00`` and a country code; 3-3-4 digits, also after ``1``; ``0`` and 9 to 11 digits
+  in all. Groups are split by one space, dot or hyphen; without ``+`` a number must have groups;
 - IPv4 addresses: the 32 bits, as two halves;
 - dates ``yyyy-mm-dd``, ``dd.mm.yyyy``, ``dd/mm/yyyy`` of the years 1800 to 2199: the day's
-  number among the 146,097 days of 400 years (189 x 773);
+  number among the 146,097 days of 400 years (189 x 773); ``mm/dd/yyyy`` where that is the only
+  reading, among the days that have no other;
 - e-mail addresses (the part before the @) and values of ``token``, ``password``, ``secret``,
-  ``api_key`` assignments: each letter or digit within its kind, hexadecimal kept so.
+  ``api_key`` assignments (all between quotes, or four characters and more up to a space): each
+  ASCII letter or digit within its kind, hexadecimal kept so.
 
 Numbers that fail validation are no personal data and stay as they are.
 
@@ -32,13 +38,25 @@ KEY = "perilmap-demonstration-key"
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-SECRET = r"(?i:\b(?:access[_-]?token|token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{12,}+"
+SECRET_NAME = r"(?i:\b(?:access[_-]?token|token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3})"
+SECRET = SECRET_NAME + r"""(?:"[^"\n]{1,200}(?=")|'[^'\n]{1,200}(?=')|["']?[^\s"']{3,}[A-Za-z0-9])"""
 IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
 PHONE = r"(?<!\d)\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d)"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-ANY = "|".join((EMAIL, SECRET, IP, PHONE, SSN, DATE, CARD))
+_ALONE = r"(?<!\d)(?<!\d[.-])"
+PLUS = r"\+(?:\d{1,3}[ .-]?\(\d{1,5}\)(?:[ .-]?\d){5,11}|\d(?:[ .-]?\d){7,14})(?!\d)"
+GROUPED = rf"{_ALONE}(?:1[ .-])?\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}(?![.-]?\d)"
+#: National and 00 numbers start with digits that stay; the shape of an SSN is none of them.
+ZERO = (
+    rf"{_ALONE}(?=00[1-9]\d{{0,2}}[ .-])00[1-9](?:[ .-]?\d){{7,14}}(?!\d)",
+    rf"{_ALONE}(?!\d{{3}}-\d{{2}}-\d{{4}}(?!\d))(?=0[1-9]\d{{0,4}}[ .-])0[1-9](?:[ .-]?\d){{7,9}}(?!\d)",
+    r"\(0\d{1,4}\)(?:[ .-]?\d){5,9}(?!\d)",
+)
+#: Calling codes are prefix-free, so a code says itself how long it is.
+CALLING_CODE = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+ANY = "|".join((EMAIL, SECRET, IP, PHONE, SSN, DATE, PLUS, GROUPED, CARD, *ZERO))
 #: A text without any of these holds no candidate.
 HINT = r"[@0-9]|(?i:token|passw|secret|api.?key)"
 
@@ -118,7 +136,25 @@ def _card(m: Column, key: str, undo: bool) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
     new = permute_digits(payload, key, "card", undo)
-    return F.when(luhn_digit(payload) == F.right(digits, F.lit(1)), with_digits(m, F.concat(new, luhn_digit(new)))).otherwise(m)
+    valid = F.when(luhn_digit(payload) == F.right(digits, F.lit(1)), with_digits(m, F.concat(new, luhn_digit(new))))
+    return valid.when(m.rlike(r"^0\d{0,5}[ -]"), _zero(m, key, undo)).otherwise(m)
+
+
+def _zero(m: Column, key: str, undo: bool) -> Column:
+    """Telephone numbers that start with 0 or 00. The last digit keeps its distance from the Luhn
+    digit, so a number that could be a card and isn't one becomes no card either."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    head = F.regexp_extract(digits, rf"^(?:00(?:{CALLING_CODE})|\d\d)", 0)
+    payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    new = F.concat(head, permute_digits(F.substr(payload, F.length(head) + 1), key, "phone", undo))
+    last = F.pmod(F.right(digits, F.lit(1)).cast("int") - luhn_digit(payload).cast("int") + luhn_digit(new).cast("int"), F.lit(10))
+    return with_digits(m, F.concat(new, last.cast("string")))
+
+
+def _plus(m: Column, key: str, undo: bool) -> Column:
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    head = F.regexp_extract(digits, f"^(?:{CALLING_CODE})", 0)
+    return with_digits(m, F.concat(head, permute_digits(F.substr(digits, F.length(head) + 1), key, "phone", undo)))
 
 
 def _number(m: Column, key: str, kind: str, undo: bool) -> Column:
@@ -140,26 +176,40 @@ def _date(m: Column, key: str, undo: bool) -> Column:
     part = lambda a, b: F.when(iso, F.substr(m, F.lit(a[0]), F.lit(a[1]))).otherwise(F.substr(m, F.lit(b[0]), F.lit(b[1])))
     text = F.concat_ws("-", part((1, 4), (7, 4)), part((6, 2), (4, 2)), part((9, 2), (1, 2)))
     day = F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
-    n = F.datediff(day, F.lit("1800-01-01").cast("date"))
-    out = permute_number(F.floor(n / 773), n % 773, F.lit(189), F.lit(773), key, "date", undo)
+    start = F.lit("1800-01-01").cast("date")
+
+    def moved(d: Column) -> Column:
+        n = F.datediff(d, start)
+        out = permute_number(F.floor(n / 773), n % 773, F.lit(189), F.lit(773), key, "date", undo)
+        return F.date_add(start, (out["x"] * 773 + out["y"]).cast("int"))
+
     mark = F.substr(m, F.lit(3), F.lit(1))
-    new = F.date_add(F.lit("1800-01-01").cast("date"), (out["x"] * 773 + out["y"]).cast("int"))
+    new = moved(day)
     made = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(new, "dd"), mark, F.date_format(new, "MM"), mark, F.date_format(new, "yyyy")))
-    return F.when(n.between(0, 146_096), made).otherwise(m)
+    # Month first, where day first is no date: walked on until that holds of the new date too
+    # (two of five days fail it, so 64 steps are never used up).
+    swapped = F.try_to_timestamp(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2))), F.lit("yyyy-MM-dd")).cast("date")
+    other = F.aggregate(F.sequence(F.lit(1), F.lit(64)), moved(swapped), lambda d, _: F.when(F.dayofmonth(d) > 12, d).otherwise(moved(d)))
+    turned = F.concat(F.date_format(other, "MM"), mark, F.date_format(other, "dd"), mark, F.date_format(other, "yyyy"))
+    in_range = lambda d: F.datediff(d, start).between(0, 146_096)
+    return F.when(in_range(day), made).when(~iso & day.isNull() & in_range(swapped), turned).otherwise(m)
 
 
 def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
     """What a candidate becomes; itself where it isn't valid."""
-    value = F.regexp_extract(m, r"[A-Za-z0-9_\-]+$", 0)
+    value = F.regexp_replace(m, f"^{SECRET_NAME}[\"']?", "")
     name = F.substring_index(m, "@", 1)
     return (
-        F.when(F.contains(m, F.lit("@")), F.concat(permute_characters(name, key, "mail", undo), F.substr(m, F.length(name) + 1)))
-        .when(m.rlike("^[A-Za-z]"), F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), permute_characters(value, key, "secret", undo)))
+        F.when(m.rlike(f"^{SECRET_NAME}"), F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), permute_characters(value, key, "secret", undo)))
+        .when(F.contains(m, F.lit("@")), F.concat(permute_characters(name, key, "mail", undo), F.substr(m, F.length(name) + 1)))
         .when(m.rlike(f"^{DATE}$"), _date(m, key, undo))
         .when(m.rlike(f"^{IP}$"), _ip(m, key, undo))
-        .when(F.contains(m, F.lit("(")), _number(m, key, "phone", undo))
+        .when(m.rlike(f"^(?:{PHONE})$"), _number(m, key, "phone", undo))
         .when(m.rlike(f"^{SSN}$"), _number(m, key, "ssn", undo))
-        .otherwise(_card(m, key, undo))
+        .when(m.rlike(f"^(?:{PLUS})$"), _plus(m, key, undo))
+        .when(m.rlike(f"^(?:{GROUPED})$"), _number(m, key, "phone", undo))
+        .when(m.rlike(f"^(?:{CARD})$"), _card(m, key, undo))
+        .otherwise(_zero(m, key, undo))
     )
 
 

@@ -141,6 +141,33 @@ def test_pseudonyms(spark):
     assert pii.pseudonymised(df.limit(0)).count() == 0
 
 
+MISSED = {
+    "call 555-123-4567 or 555.123.4567, 1 555 123 4567": 3, "call +1 555 123 4567, +44 20 7946 0958": 2, "+442079460958; +44 (0)20 7946 0958; +33 1 23 45 67 89": 3, "020 7946 0958, 07911 123456 and 01 23 45 67 89": 3, "(020) 7946 0958": 1,
+    "0044 20 7946 0958, 0045 12 34 56 78": 2, "on 12/25/2020, 02/29/2000": 2, "password: P@ss1! token=ab12 secret = 'two words' api_key=\"x\"": 4, "password = P@ssw0rd,with;more": 1,
+}
+
+
+def test_usual_shapes_are_found(spark):
+    """Telephone numbers without parentheses, dates with the month first and secrets of other characters."""
+    df = spark.createDataFrame(list(enumerate(MISSED)), "doc_id long, text string")
+    out = pii.pseudonymised(df)
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert [rows[i]["n_values"] for i in range(len(MISSED))] == list(MISSED.values())
+    for i, text in enumerate(MISSED):
+        assert re.sub(r"\d", "0", re.sub("[A-Za-z]", "x", rows[i]["text"])) == re.sub(r"\d", "0", re.sub("[A-Za-z]", "x", text))
+    assert rows[1]["text"].startswith("call +1 ") and ", +44 " in rows[1]["text"]
+    assert all(int(m) <= 12 < int(d) for m, d in re.findall(r"(\d\d)/(\d\d)/\d{4}", rows[6]["text"]))
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(out.drop("n_values"), undo=True).collect()} == dict(enumerate(MISSED))
+
+
+def test_shapes_can_be_undone_whatever_their_digits(spark):
+    rng = random.Random(8)
+    shapes = ["000-000-0000", "1 000 000 0000", "+000000000000", "+00 000 0000 00", "000 0000 0000", "00000 000000", "0000 00 0000 0000", "(000) 0000 0000", "00/00/0000", "00.00.0000", "000-00-0000", "0000 000000 00000", "0000 0000 0000 0000", "00000 555-000-0000"]
+    texts = [f"x {re.sub('0', lambda _: rng.choice('0012345678'), rng.choice(shapes))} y" for _ in range(1500)]
+    out = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(out.drop("n_values"), undo=True).collect()} == dict(enumerate(texts))
+
+
 def test_permutation_is_one_to_one(spark):
     every = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d")).select(pii.permute_digits(F.col("d"), "k", "t").alias("e"))
     assert every.distinct().count() == 1000 and every.filter("length(e) <> 3").count() == 0
