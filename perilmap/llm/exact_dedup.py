@@ -49,12 +49,22 @@ def normalised(text) -> F.Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
+def placed(docs: DataFrame, out_dir: str) -> DataFrame:
+    """``docs``, stored as Parquet first unless each row is a row of one file, so that rows can be told apart."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.children().isEmpty() and not located(docs).schema["_row"].metadata.get("absent"):
+        return docs
+    return written(docs, f"{out_dir}/placed")
+
+
 def located(docs: DataFrame) -> DataFrame:
     """``docs`` with its rows' places, as far as they come from files."""
     try:
         return docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:
-        return docs.select("*", F.lit(None).cast("string").alias("_path"), F.lit(None).cast("long").alias("_row"))
+        return docs.select("*", F.lit(None).cast("string").alias("_path"), F.lit(None).cast("long").alias("_row", metadata={"absent": True}))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -100,7 +110,7 @@ def differing(docs: DataFrame, state: DataFrame, broadcast_digests: int = BROADC
 
 def exact_groups(docs: DataFrame, out_dir: str) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256, and its place."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, placed(docs, out_dir)
     rows = written(digests(docs), f"{out_dir}/digests")
     state = written(keyed_state(spark.readStream.schema(rows.schema).parquet(f"{out_dir}/digests"), f"{out_dir}/state"), f"{out_dir}/entries")
     shape = lambda joined: joined.select(
@@ -117,6 +127,9 @@ def exact_groups(docs: DataFrame, out_dir: str) -> DataFrame:
 
 def drop_copies(docs: DataFrame, out_dir: str) -> DataFrame:
     """The rows of ``docs`` that stay, in their own columns."""
+    if "_metadata" in docs.columns:
+        raise ValueError("a column named _metadata hides the places of rows")
+    docs = placed(docs, out_dir)
     gone = written(exact_groups(docs, out_dir).filter(~F.col("kept")).select("_path", "_row"), f"{out_dir}/gone")
     if gone.count() <= BROADCAST_DIGESTS:
         gone = F.broadcast(gone)

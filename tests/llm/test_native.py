@@ -43,6 +43,18 @@ def test_one_row_stays(spark):
     assert kept.columns == ["doc_id", "text", "digest"] and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5, 6, 8, 9]
 
 
+def test_one_row_stays_of_rows_from_no_file(spark):
+    """In-memory rows, a union and a join that repeats rows have no places of their own."""
+    path, kept = shared_dir(spark, "in"), [1, 2, 5, 6, 8, 9]
+    df = docs(spark, DOCS)
+    df.write.parquet(path)
+    stored = spark.read.parquet(path)
+    for several in (df, stored.union(stored), stored.join(spark.createDataFrame([("clash",)] * 3, "digest string"), "digest").select(*df.columns)):
+        some = exact_dedup.drop_copies(several, shared_dir(spark, "e"))
+        assert some.columns == df.columns and sorted(r["doc_id"] for r in some.collect()) == kept
+        assert sum(r["kept"] for r in exact_dedup.exact_groups(several, shared_dir(spark, "e")).collect()) == len(kept)
+
+
 def test_state_goes_on(spark):
     """A second run on the same checkpoint takes up what is new and keeps the smallest id."""
     out, src = shared_dir(spark, "s"), shared_dir(spark, "src")
