@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -204,6 +205,24 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0), shared_dir(spark, "l")).count() == 0
 
 
+def test_licences_among_common_words(spark):
+    """Words outside the templates have their own frequency; full texts and headers of several lines are found."""
+    rng = random.Random(4)
+    common = "this file is see for details and the of in to a".split()
+    rest = [f"w{k}" for k in range(400)]
+    prose = [(k, f"p/{k}.txt", " ".join([*rng.sample(common, 9), *rng.sample(rest, 30)]) + ("\nthe license of w1 and w2 see w3 for w4" if k % 50 == 0 else "")) for k in range(2000)]
+    text = lambda name: (Path(licenses.__file__).parent / "licence_texts" / f"{name}.txt").read_text()
+    header = "/*\n * Permission is hereby granted, free of charge,\n * to any person obtaining a copy of this\n * software and associated documentation files\n */\n\nint main() {}"
+    rows = [
+        (9001, "s/a.c", "// This file is licensed under the MIT License; see LICENSE for details.\nint x;"), (9002, "s/b.c", "Copyright (c) 2021 Jane Doe. Licensed under the MIT License.\nint y;"), (9003, "s/h.c", header),
+        (9004, "m/LICENSE", text("MIT").replace("(c)", "(c) 2021 Jane Doe")), (9005, "m/x.c", ""), (9006, "g/COPYING", text("GPL-3.0")), (9007, "b/LICENSE.txt", text("BSD-3-Clause")),
+    ]
+    out = licenses.scan(spark.createDataFrame(prose + rows, "file long, path string, text string"), shared_dir(spark, "l")).collect()
+    got = {r["file"]: r["licence"] for r in out}
+    assert [got[k] for k in range(9001, 9008)] == ["MIT", "MIT", "MIT", "MIT", "MIT", "GPL-3.0", "BSD-3-Clause"]
+    assert not any(got[k] for k in range(2000))
+
+
 def test_nearest_ancestor_against_brute_force(spark):
     rng = random.Random(3)
     dirs = sorted({"/".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in range(40)} | {""})
