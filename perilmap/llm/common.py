@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -64,6 +65,14 @@ def give_back_memory() -> None:
         pass
 
 
+def without_encoders() -> None:
+    """At the start of a task that encodes nothing: free what tasks before have left in this worker."""
+    tokens = sys.modules.get("perilmap.llm.tokens")
+    if tokens is not None:
+        tokens.forget()
+    give_back_memory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate folder that no later read needs."""
     jvm = spark.sparkContext._jvm

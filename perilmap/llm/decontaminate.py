@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table, written
+from .common import shared_dir, small_batches, table, without_encoders, written
 
 Q = 8
 ERROR_RATE = 0.1
@@ -222,6 +222,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int =
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            without_encoders()
             index = shared.value
             for b in batches:
                 yield b.filter(pa.array([not index.matches(t) for t in b.column(at).to_pylist()], pa.bool_()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back_memory, held_out, shared_dir, small_batches, table, written
+from .common import give_back_memory, held_out, shared_dir, small_batches, table, without_encoders, written
 from .words import word_hashes
 
 SAMPLE_ROWS = 20_000
@@ -75,6 +75,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, measures), from one pass over the texts."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_encoders()
         for b in batches:
             rows = [measures(t) for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float32()))], ["doc_id", "held_out", "measures"])
@@ -222,6 +223,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        without_encoders()
         for b in batches:
             if b.num_rows:
                 x = np.stack([measures(t) for t in b.column(at).to_pylist()])

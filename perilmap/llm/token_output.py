@@ -2,10 +2,11 @@
 
 Documents are put in ascending ``doc_id`` order by a range partitioning, each partition
 is encoded as a stream and written as one *shard*: an Arrow IPC file whose batches hold
-``ids: fixed_size_list<uint>[L]`` and ``mask: fixed_size_list<bool>[L]``. All batches but
+``ids: fixed_size_list<uint>[L]`` and ``mask: fixed_size_list<uint8>[L]`` (a byte each, as Arrow
+packs Booleans into bits, which no array can view). All batches but
 the last hold the same number of sequences, so sequence ``i`` is row ``i % B`` of batch
 ``i // B`` and can be mapped without a copy. Only a shard's last sequence is padded (mask
-false). Beside it lies an index file (doc_id, start, n_tokens). A manifest in Parquet
+0). Beside it lies an index file (doc_id, start, n_tokens). A manifest in Parquet
 names the files of committed tasks only; what a lost executor wrote is never listed.
 
 Cases: a null text counts as empty (just the end id); null ids come first; rows with equal
@@ -15,6 +16,7 @@ other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,9 +37,10 @@ RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long, shard string"
 
 
 def filesystem(uri: str):
+    """(file system, path) of a folder's address as Spark writes it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 class ShardWriter:
@@ -47,7 +50,7 @@ class ShardWriter:
         self.fs, self.path = filesystem(uri)
         self.dtype, self.sequence, self.batch = dtype, sequence, batch
         value = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(value, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+        self.schema = pa.schema([("ids", pa.list_(value, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
         self.sink = self.fs.open_output_stream(self.path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.held, self.held_bytes = [], 0
@@ -78,7 +81,7 @@ class ShardWriter:
         self.held, self.held_bytes = [rest.tobytes()], rest.nbytes
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
+        mask = (np.arange(len(ids)) < real).view(np.uint8)
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
         self.file.write_batch(pa.record_batch(columns, schema=self.schema))
 
@@ -109,17 +112,17 @@ class Shard:
         return (n - 1) * self.rows + self.file.get_batch(n - 1).num_rows if n else 0
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence ``i``; the ids are not copied."""
+        """(ids, mask) of sequence ``i``; neither is copied, on a local path both are views of the mapped file."""
         batch = self.file.get_batch(i // self.rows)
         ids, mask = (batch.column(k)[i % self.rows].values for k in (0, 1))
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True)
 
     def batches(self) -> Iterator[np.ndarray]:
         """The ids of each batch in one flat array, padding left out."""
         for k in range(self.file.num_record_batches):
             batch = self.file.get_batch(k)
             ids, mask = (batch.column(c).flatten() for c in (0, 1))
-            yield ids.to_numpy(zero_copy_only=True)[: mask.true_count]
+            yield ids.to_numpy(zero_copy_only=True)[: np.count_nonzero(mask.to_numpy(zero_copy_only=True))]
 
     def documents(self) -> Iterator[tuple]:
         """(doc_id, start, ids in one or more arrays) in order, holding a batch at a time."""

@@ -4,7 +4,8 @@ A BPE tokenizer never merges across its pre-tokens, so the ids of a text are the
 of its space-separated words in order. Words repeat; each worker encodes a word once
 with the tokenizers library and looks it up afterwards. Texts for which that cut is
 not provably exact (control or unusual white space, texts not in NFC, capitals whose
-lower case depends on context) are encoded whole.
+lower case depends on context, strings of the vocabulary's own control tokens, which the
+library turns into those tokens) are encoded whole.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import unicodedata
 
 import numpy as np
 
-#: Words one worker remembers, in two generations; about 60 MB. When the younger is full the
+#: Words one worker remembers, in two generations; about 30 MB. When the younger is full the
 #: older is forgotten, but words met again have moved to the younger before.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: Words handed to the library in one call.
 _JOINED = 512
 _ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
@@ -35,17 +36,17 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned integers of ``dtype``, without special tokens."""
+    """Ids of texts as little-endian unsigned integers of ``dtype``; nothing is added before or after."""
 
     def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # control strings inside a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.marks = [t["content"] for t in spec.get("added_tokens", [])]
         # The same model for words of letters that are in their final form: it only cuts at spaces.
         at_spaces = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed" if spec["model"].get("end_of_word_suffix") else "MergedWithNext", "invert": False}
         as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
@@ -120,12 +121,13 @@ class Encoder:
     def _cut(self, text: str) -> list[str] | None:
         """The words of a text, or None where cutting it could change its ids."""
         plain = text.isascii() and text.replace("\n", " ").isprintable()
-        if not plain and _ODD.search(text):
+        if not plain and _ODD.search(text) or any(m in text for m in self.marks):
             return None
         if self.word_end:
-            if not (plain or unicodedata.is_normalized("NFC", text)):
+            low = text.lower()
+            if not (plain or unicodedata.is_normalized("NFC", text)) or any(m in low for m in self.marks):
                 return None
-            return text.lower().split()
+            return low.split()
         if self.space_start:
             if text[0].isspace() or text[-1].isspace():
                 return None
@@ -169,7 +171,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_blocks(texts: list[str], enc: Encoder, limit: int = 4_000_000):
+def forget() -> None:
+    """Drop the worker's encoders, for tasks that need none."""
+    encoder.cache_clear()
+
+
+def encode_blocks(texts: list[str], enc: Encoder, limit: int = 1_000_000):
     """Encode in blocks of about ``limit`` characters, so that split words don't pile up."""
     block: list[str] = []
     held = 0

@@ -1,9 +1,12 @@
+import functools
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from perilmap.llm import packing, token_output, tokens
 from perilmap.llm.common import shared_dir
@@ -11,7 +14,7 @@ from perilmap.llm.common import shared_dir
 WORDS, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 ODD = [
     "", " ", "a", " a", "a ", "a  b", "a \n b", "a\n\nb", "x\n \ny", "don't I'll we're", "ΣΑΣ Σ", "İstanbul", "a b", "é x", "<|endoftext|> hi", "###!! 'S 's", "tab\tx", "a\r\nb",
-    "naïve Über straße", "日本語 テスト", "foo\x1cbar", "a　b", "x'. it's", "\n", "a\n", "\nb", "emoji 😀 ok", "Word, word. Word; 12 345",
+    "a <|endoftext|> hi", "<|startoftext|>", "a<|ENDOFTEXT|>b <|EndOfText|>", "x<|endoftext|>", "<|endoftext| >", "naïve Über straße", "日本語 テスト", "foo\x1cbar", "a　b", "x'. it's", "\n", "a\n", "\nb", "emoji 😀 ok", "Word, word. Word; 12 345",
 ]
 
 
@@ -20,8 +23,25 @@ def enc(request):
     return tokens.Encoder(tokens.vocabulary_path(request.param))
 
 
+@functools.cache
+def library(words: bool) -> Tokenizer:
+    """A tokenizer of its own, as the library reads it from the file."""
+    return Tokenizer.from_file(tokens.vocabulary_path(WORDS if words else BYTES))
+
+
 def plain(enc, texts):
-    return [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in library(enc.word_end).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_all_kinds_of_characters(enc):
+    """Some characters of each category, direction and decomposition, within and between words."""
+    kinds = {}
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]):
+        kind = (unicodedata.category(c), unicodedata.bidirectional(c), unicodedata.decomposition(c) != "", c.isalpha(), c.isprintable(), c.isspace(), c.lower() != c, len(c.lower()), ord(c) < 0x800)
+        kinds.setdefault(kind, []).append(c)
+    some = [c for cs in kinds.values() for c in cs[:: max(1, len(cs) // 12)]]
+    texts = [t for c in some for t in (f"ab{c}cd {c} e{c} {c}F", f"x\n{c}y{c}")]
+    assert len(kinds) > 100 and [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == plain(enc, texts)
 
 
 def test_odd_texts(enc):
@@ -43,6 +63,14 @@ def frame(spark, rows):
 ROWS = [(5, "five words are here now", "x"), (1, None, "x"), (3, "", None), (None, "no id", "x"), (3, "twice", "x"), (9, "long text " * 3000, "x"), (5, "five words are here now", "x")]
 
 
+def inside(shard, view) -> bool:
+    """Whether an array lies in the memory that the shard's file is mapped to."""
+    shard.source.seek(0)
+    whole = shard.source.read_buffer(shard.source.size())
+    at = view.__array_interface__["data"][0]
+    return whole.address <= at and at + view.nbytes <= whole.address + whole.size
+
+
 def test_token_output(spark):
     enc = tokens.Encoder(tokens.vocabulary_path(WORDS))
     manifest = token_output.write_shards(frame(spark, ROWS), shared_dir(spark, "t"), tokens.vocabulary_path(WORDS), sequence=16, batch=4)
@@ -59,7 +87,8 @@ def test_token_output(spark):
         for i in range(len(shard)):
             one, mask = shard.sequence(i)
             assert len(one) == 16
-            seen += one[mask].tolist()
+            assert inside(shard, one) and inside(shard, mask)
+            seen += one[mask.astype(bool)].tolist()
     assert sorted(seen) == sorted(t for x in ids for t in x)
 
 
