@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,11 +83,25 @@ def extract_sections(segments: DataFrame, profile: Profile = ARABIC, column: str
 
 
 def strip_code_fence(text: Column) -> Column:
-    """The inside of a ```json fence; any other text as it is."""
-    inner = F.trim(F.substr(text, F.lit(8), F.length(text) - 10))
+    """The inside of a ```json fence without white space around it; any other text as it is."""
+    inner = F.regexp_replace(F.substr(text, F.lit(8), F.length(text) - 10), r"(?U)^\s+|\s+$", "")
     return F.when(text.startswith("```json") & text.endswith("```"), inner).otherwise(text)
 
 
+def render(template: str, **values: Column) -> Column:
+    """A prompt or report: ``{name}`` in the template stands for the column of that name ('' for null).
+
+    Doubled braces are braces; a name without a column raises KeyError.
+    """
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def split_labels(text: Column, full_width: bool = True, drop_empty: bool = True) -> Column:
     """Labels between semicolons, trimmed; an empty list for null."""
     source = F.translate(text, "；", ";") if full_width else text

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ordered_distinct, parse_labels
+from ..functions.text import first_label, ordered_distinct, parse_labels, parse_sub_factors, render
 
 Classifier = Callable[[pd.Series], pd.Series]
 
@@ -24,29 +26,38 @@ MAIN_KEYWORDS = {
     "EQ": ("damaged equipment", "abnormal function", "poor maintenance", "broken cables", "faulty indicators", "missing parts"),
     "MA": ("wrong material", "unqualified raw materials", "rusty wire", "damp electrodes", "impurities", "wrong wire type"),
     "TE": ("violated process requirements", "blueprint deviation", "design defect", "improper groove", "wrong welding sequence", "no preheating"),
-    "EN": ("rain", "snow", "high humidity", "low temperature", "strong wind", "narrow space"),
+    "EN": ("rain", "snow", "high humidity", "low temperature", "strong wind", "narrow space", "high construction difficulty"),
     "MG": ("no inspection", "lack of supervision", "poor duty performance", "failed briefing", "insufficient manpower", "skipped procedures"),
 }
-# Words that point to a sub-factor.
+# Words that point to a sub-factor. Plurals and endings are left off where the
+# shorter form stands in all of them; two wordings of one sign are both listed.
 SUB_KEYWORDS = {
-    "H1": ("insufficient skill", "poor training", "new employee", "uncertified"),
+    "H1": ("insufficient skill", "poor training", "new employee", "read blueprints", "uncertified"),
     "H2": ("lack of responsibility", "lacked responsibility", "weak quality awareness", "careless", "blind construction"),
-    "H3": ("illegal operation", "violated", "improper handling", "did not strictly follow"),
-    "EQ1": ("abnormal equipment", "missing parts", "poor maintenance", "broken cable"),
-    "EQ2": ("improper tool use", "unqualified tool", "insufficient protection", "welder failure"),
-    "EQ3": ("abnormal voltage", "abnormal current", "excessive speed", "insufficient heating"),
-    "MA1": ("unqualified material", "excess hardness", "unauthorized substitution"),
-    "MA2": ("rusty wire", "damp electrode", "wrong wire"),
-    "MA3": ("improper temporary storage", "oven temperature", "damp consumables"),
-    "TE1": ("design defect", "incomplete process", "groove issue"),
-    "TE2": ("improper parameters", "wrong method", "chaotic sequence", "insufficient pretreatment"),
-    "TE3": ("unclear standard", "insufficient weld leg", "excessive gap"),
+    "H3": ("illegal operation", "violat", "not following", "did not strictly follow", "improper handling", "wrong welding sequence"),
+    "EQ1": ("abnormal equipment", "damaged function", "missing parts", "poor maintenance", "broken cable", "damaged cable"),
+    "EQ2": ("improper tool use", "improper use of tools", "unqualified tool", "insufficient protection", "welder failure"),
+    "EQ3": ("abnormal voltage", "abnormal current", "excessive speed", "excessive travel speed", "insufficient heating"),
+    "MA1": ("unqualified material", "not meeting requirements", "excess hardness", "hardness exceeding", "unauthorized substitution"),
+    "MA2": ("rusty wire", "rusty welding wire", "damp electrode", "wrong wire", "wrong type of welding wire"),
+    "MA3": ("improper temporary storage", "oven temperature", "damp consumables", "rusty consumables", "damp/rusty consumables"),
+    "TE1": ("design defect", "incomplete process", "groove issue", "lack of targeted process", "lack of specific process"),
+    "TE2": ("improper parameters", "wrong method", "chaotic sequence", "insufficient pretreatment", "fast welding", "welding too fast"),
+    "TE3": ("unclear standard", "mismatched spec", "specification mismatch", "insufficient weld leg", "excessive gap"),
     "EN1": ("rain", "snow", "low temperature", "high humidity", "monsoon"),
-    "EN2": ("narrow space", "strong wind", "poor lighting"),
-    "MG1": ("inadequate inspection", "lack of oversight", "failed to conduct", "failed to inspect"),
-    "MG2": ("imperfect system", "failure to implement", "poor dispatching"),
-    "MG3": ("insufficient training", "unclear briefing", "not communicated"),
+    "EN2": ("narrow space", "high difficulty", "poor conditions", "strong wind", "poor lighting", "insufficient light"),
+    "MG1": ("inadequate inspection", "missing mutual checks", "lack of oversight", "failure to detect", "failed to conduct", "failed to inspect"),
+    "MG2": ("imperfect system", "failure to implement", "non-standard workflow", "poor dispatching"),
+    "MG3": ("insufficient training", "unclear briefing", "not communicated", "pre-job training"),
 }
+MAIN_PROMPT = """Sort the causes that the text names into these categories: {categories}.
+Answer with one JSON object from category to a list of causes, and nothing else.
+
+{text}"""
+SUB_PROMPT = """Name the sub-factors, of these only, that the factor belongs to: {names}.
+Answer with a JSON object that lists them under "secondary_factors"; "Unclassified" if none fits.
+
+Factor: {text}"""
 
 
 def keyword_rules(spark: SparkSession, rules: dict) -> DataFrame:
@@ -56,47 +67,61 @@ def keyword_rules(spark: SparkSession, rules: dict) -> DataFrame:
 
 def keyword_codes(text, rules: dict) -> F.Column:
     """The codes whose keywords a text contains (in lower case), in the order of the rules."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    hits = []
-    for code, words in rules.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(low, F.lit(w))
-        hits.append(F.when(hit, F.lit(code)))
-    return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+    def codes(low: F.Column) -> F.Column:
+        hits = [F.when(reduce(or_, [F.contains(low, F.lit(w)) for w in words]), F.lit(code)) for code, words in rules.items()]
+        return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+    # As a variable of a function the text in lower case is made once, not once for each word.
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), codes)[0]
 
 
 def with_retries(classify: Classifier, tries: int = 3, pause: float = 0.0) -> Callable[[pd.Series], pd.DataFrame]:
-    """Answers and a status for each batch; a batch that fails ``tries`` times is ``Failed``."""
+    """Answers and a status for each text of a batch.
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        for left in reversed(range(tries)):
+    If the call for a whole batch fails, each text is sent alone, so that one bad text spoils no
+    other. Failures of transport (``OSError``, as lost connections and time-outs are) are tried
+    ``tries`` times in all; what fails then, or in any other way, is ``Failed``.
+    """
+
+    def alone(text: str) -> tuple[str | None, str]:
+        for _ in range(tries):
             try:
-                out = classify(texts)
-                if pause:
-                    time.sleep(pause)
-                return pd.DataFrame({"answer": out.to_numpy(), "status": "Success"})
-            except Exception:
-                if not left:
-                    return pd.DataFrame({"answer": [None] * len(texts), "status": "Failed"})
+                return classify(pd.Series([text])).iloc[0], "Success"
+            except OSError:
                 time.sleep(pause)
+            except Exception:  # an answer that can't be read: the same text would fail again
+                break
+        return None, "Failed"
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        try:
+            out = pd.DataFrame({"answer": classify(texts).to_numpy(), "status": "Success"})
+        except Exception:
+            out = pd.DataFrame([alone(t) for t in texts], columns=["answer", "status"])
+        if pause:
+            time.sleep(pause)
+        return out
 
     return run
 
 
-def classify_texts(rows: DataFrame, column: str, classify: Classifier, tries: int = 3, pause: float = 0.0, parallel: int | None = None) -> DataFrame:
+def classify_texts(rows: DataFrame, column: str, classify: Classifier, tries: int = 3, pause: float = 0.0, parallel: int | None = None, template: str | None = None) -> DataFrame:
     """``rows`` with ``answer`` and ``status``: each distinct text is classified once.
 
-    Null and blank texts are ``Skipped``. ``parallel`` bounds the number of calls at a time.
+    Null and blank texts and ``nan`` are ``Skipped``. ``parallel`` bounds the number of calls at
+    a time; ``template`` is the prompt, with ``{text}`` for the text.
     """
     run = with_retries(classify, tries, pause)
-    texts = rows.filter(F.trim(column) != "").select(F.col(column).alias("_text")).distinct()
+    fine = ~F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", "")).isin("", "nan")
+    texts = rows.filter(fine).select(F.col(column).alias("_text")).distinct()
+    texts = texts.withColumn("_prompt", render(template, text=F.col("_text")) if template else F.col("_text"))
     if parallel:
         texts = texts.repartition(parallel)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            out = run(pdf["_text"])
+            out = run(pdf["_prompt"])
             out.insert(0, "_text", pdf["_text"].to_numpy())
             yield out
 
@@ -105,6 +130,25 @@ def classify_texts(rows: DataFrame, column: str, classify: Classifier, tries: in
     return joined.withColumn("status", F.coalesce("status", F.lit("Skipped")))
 
 
+def main_labels(rows: DataFrame, column: str, classify: Classifier, categories: tuple[str, ...], **calls) -> DataFrame:
+    """``rows`` with ``Risk_Factors`` and ``Factor_Categories``, each joined by ``; `` ('' where nothing was found)."""
+    prompt = MAIN_PROMPT.replace("{categories}", ", ".join(categories))
+    flat = flatten_answers(classify_texts(rows, column, classify, template=prompt, **calls))
+    return flat.withColumn("Risk_Factors", F.array_join("factors", "; ")).withColumn("Factor_Categories", F.array_join("categories", "; ")).drop("answer", "factors", "categories")
+
+
+def sub_labels(rows: DataFrame, column: str, classify: Classifier, names: tuple[str, ...], **calls) -> DataFrame:
+    """``rows`` with ``Secondary_Factors``, joined by ``; ``, of the text (a path, say) in ``column``."""
+    answered = classify_texts(rows, column, classify, template=SUB_PROMPT.replace("{names}", ", ".join(names)), **calls)
+    return answered.withColumn("Secondary_Factors", F.array_join(parse_sub_factors(F.col("answer")), "; ")).drop("answer")
+
+
+def node_classes(counts: DataFrame, classify: Classifier, names: tuple[str, ...], **calls) -> DataFrame:
+    """(name, cls) of every node name in (source, target, cnt): the first sub-factor of its answer, or null."""
+    ends = counts.select(F.col("source").alias("name")).union(counts.select("target")).distinct()
+    return sub_labels(ends, "name", classify, names, **calls).select("name", first_label(F.col("Secondary_Factors")).alias("cls"))
+
+
 def flatten_answers(answered: DataFrame) -> DataFrame:
     """Adds ``categories`` and ``factors`` of an answer; each list is freed of repeats on its own."""
     labels = parse_labels(F.col("answer"))

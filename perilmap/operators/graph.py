@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.text import first_contained
 
@@ -62,6 +63,17 @@ def nodes(triplets: DataFrame) -> DataFrame:
     return one.unionByName(triplets.select(F.col("tail").alias("name"), F.col("tail_type").alias("type"))).distinct()
 
 
+def with_embeddings(nodes_: DataFrame, embed, column: str = "embedding") -> DataFrame:
+    """``nodes_`` (name, type) with a vector of each name from ``embed``, a function of a Series of names."""
+
+    def add(it):
+        for pdf in it:
+            pdf[column] = [list(map(float, v)) for v in embed(pdf["name"])]
+            yield pdf
+
+    return nodes_.mapInPandas(add, StructType([*nodes_.schema.fields, StructField(column, ArrayType(FloatType()))]))
+
+
 def edges(triplets: DataFrame, merge: bool = False) -> DataFrame:
     """One edge for each case; ``merge`` keeps one for each pair of ends and relation."""
     keep = [c for c in ("case_id", "head", "head_type", "relation", "tail", "tail_type") if c in triplets.columns]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -10,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -52,10 +54,11 @@ def read_text_directory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema: str | None = None, rows_at_once: int = 10_000) -> DataFrame:
     """CSV with a header. Charsets that Spark's parser refuses (GBK) are decoded per file.
 
-    A byte order mark before the first name is dropped.
+    A byte order mark before the first name is dropped. ``schema`` is a DDL string, names with
+    blanks in backticks, null where a cell does not fit; columns that it doesn't name are left out of a decoded file.
     """
     if encoding.upper() in ("UTF-8", "UTF-8-SIG", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32"):
         reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8" if encoding.upper() == "UTF-8-SIG" else encoding)
@@ -64,15 +67,19 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema: st
         return df.withColumnRenamed(first, first.lstrip("﻿")) if first.startswith("﻿") else df
     if schema is None:
         raise ValueError(f"a schema is needed to read {encoding}")
-    names = [f.split()[0].strip("`") for f in schema.split(",")]
+    quoted = re.sub(r"`[^`]*`|[^\W\d]\w*", lambda m: m[0] if m[0].isascii() or m[0][0] == "`" else f"`{m[0]}`", schema)
+    fields = StructType.fromDDL(quoted).fields
+    names = [f.name for f in fields]
 
     def decode(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             for content in pdf["content"]:
-                yield pd.read_csv(io.BytesIO(content), encoding=encoding, dtype=str, keep_default_na=False)[names]
+                for rows in pd.read_csv(io.BytesIO(content), encoding=encoding, dtype=str, keep_default_na=False, chunksize=rows_at_once):
+                    yield rows[names]
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, ", ".join(f"`{n}` string" for n in names))
-    return raw.selectExpr(*[f"CAST(`{n}` AS {f.split(None, 1)[1]}) AS `{n}`" for n, f in zip(names, schema.split(","), strict=True)])
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, StructType([StructField(n, StringType()) for n in names]))
+    of = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+    return raw.select(*[F.nullif(of(f), F.lit("")).try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, StringType) else of(f) for f in fields])
 
 
 def workbook_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:

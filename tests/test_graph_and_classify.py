@@ -34,7 +34,9 @@ def test_keywords(spark):
     df = spark.createDataFrame([("The workers lacked responsibility; Rusty WIRE in the rain",), (None,), ("",)], "t string")
     got = [r[0] for r in df.select(classify.keyword_codes(F.col("t"), classify.SUB_KEYWORDS)).collect()]
     assert got == [["H2", "MA2", "EN1"], [], []]
-    assert classify.keyword_rules(spark, classify.MAIN_KEYWORDS).count() == 36
+    assert classify.keyword_rules(spark, classify.MAIN_KEYWORDS).count() == 37
+    more = spark.createDataFrame([("Unable to READ blueprints, wrong welding sequence; missing mutual checks at high difficulty",)], "t string")
+    assert more.select(classify.keyword_codes(F.col("t"), classify.SUB_KEYWORDS)).first()[0] == ["H1", "H3", "EN2", "MG1"]
 
 
 def test_pluggable_classifier(spark):
@@ -55,7 +57,35 @@ def test_retries_end_in_a_status():
         raise ConnectionError
 
     out = classify.with_retries(broken, tries=3)(pd.Series(["a", "b"]))
-    assert len(calls) == 3 and set(out["status"]) == {"Failed"} and out["answer"].isna().all()
+    assert len(calls) == 1 + 2 * 3 and set(out["status"]) == {"Failed"} and out["answer"].isna().all()
+
+    def picky(texts):
+        if "bad" in set(texts):
+            raise ValueError
+        return texts.str.upper()
+
+    out = classify.with_retries(picky, tries=3)(pd.Series(["a", "bad", "c"]))
+    assert list(out["status"]) == ["Success", "Failed", "Success"] and list(out["answer"])[::2] == ["A", "C"]
+
+
+def test_drivers_over_rows(spark):
+    def model(prompts: pd.Series) -> pd.Series:
+        assert prompts.str.contains("\n\n").all()
+        return prompts.map(lambda p: "```json\n" + json.dumps({"Human": [p[-1]], "Equipment": ["x"], "secondary_factors": ["Skill Level", "Unclassified", "Tool Usage"] if p.endswith("a") else ["Unclassified"]}) + "\n```")
+
+    rows = spark.createDataFrame([(1, "a"), (2, "\t"), (3, "NaN"), (4, None), (5, "b")], "id long, `Root Cause Analysis` string")
+    main = classify.main_labels(rows, "Root Cause Analysis", lambda p: model(p).map(lambda t: t.replace(', "secondary', ', "z')), ("Human", "Equipment")).orderBy("id").collect()
+    assert [r["status"] for r in main] == ["Success", "Skipped", "Skipped", "Skipped", "Success"]
+    assert (main[0]["Risk_Factors"].split("; ")[:2], main[0]["Factor_Categories"].split("; ")[:2], main[1]["Risk_Factors"]) == (["a", "x"], ["Human", "Equipment"], "")
+    sub = {r["id"]: r["Secondary_Factors"] for r in classify.sub_labels(rows, "Root Cause Analysis", model, ("Skill Level", "Tool Usage")).collect()}
+    assert sub == {1: "Skill Level; Tool Usage", 2: "", 3: "", 4: "", 5: ""}
+    counts = spark.createDataFrame([("a", "b", 2)], "source string, target string, cnt long")
+    assert {tuple(r) for r in classify.node_classes(counts, model, ("Skill Level",)).collect()} == {("a", "Skill Level"), ("b", None)}
+
+
+def test_embeddings(spark):
+    nodes = spark.createDataFrame([("a", "X"), ("bb", "Y")], "name string, type string")
+    assert {r["name"]: r["embedding"] for r in graph.with_embeddings(nodes, lambda names: [(len(n), 1) for n in names]).collect()} == {"a": [1.0, 1.0], "bb": [2.0, 1.0]}
 
 
 def test_log(spark):

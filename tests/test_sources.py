@@ -1,4 +1,6 @@
+import json
 import zipfile
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,8 +41,8 @@ def test_text_directory_and_cases(spark, tmp_path):
     assert readers.read_text_directory(spark, str(tmp_path / "in")).first()["text"].startswith("x\n#")
     segments = spark.createDataFrame([(1, 1, "two"), (1, 0, "one")], "doc_id long, seg_no int, segment string")
     writers.write_cases(segments, str(tmp_path / "out"))
-    text = "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
-    assert text == "one\n##########\n\ntwo\n##########\n\n"
+    text = "".join(p.read_text() for p in (tmp_path / "out").glob("doc_id=1/part-*"))
+    assert text == "one\n##########\n\ntwo\n"
 
 
 def test_csv(spark, tmp_path):
@@ -52,6 +54,9 @@ def test_csv(spark, tmp_path):
     (tmp_path / "g.csv").write_bytes("名,n\n焊接,3\n".encode("gbk"))
     row = readers.read_csv(spark, str(tmp_path / "g.csv"), "GBK", "名 string, n int").first()
     assert tuple(row) == ("焊接", 3)
+    (tmp_path / "h.csv").write_bytes('Occurrence Time,Root Cause Analysis,cost\n,"焊, 接",1.50\n2020,y,x\n'.encode("gbk"))
+    rows = readers.read_csv(spark, str(tmp_path / "h.csv"), "GBK", "`Root Cause Analysis` string, cost decimal(10,2)", rows_at_once=1).collect()
+    assert [(r["Root Cause Analysis"], r["cost"]) for r in rows] == [("焊, 接", Decimal("1.50")), ("y", None)]
 
 
 def test_workbook(spark, tmp_path):
@@ -60,6 +65,13 @@ def test_workbook(spark, tmp_path):
     assert [(r["sheet"], r["row_pos"], r["cells"]) for r in rows] == [("Sheet1", 1, {"Factors": "a; b", "N": "7"})]
 
 
+def test_excel_files(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"a & b <{k}> {{x}}", None if k % 2 else k / 2) for k in range(7)], "n int, `Risk Factors` string, t double").repartition(2)
+    assert writers.write_workbooks(df, (tmp_path / "x").as_uri(), "Path risks", most_rows=3) == len(list((tmp_path / "x").glob("*.xlsx")))
+    rows = readers.read_workbook(spark, str(tmp_path / "x"), "Path risks").collect()
+    assert sorted((int(r["cells"]["n"]), r["cells"]["Risk Factors"], r["cells"].get("t")) for r in rows) == [(k, f"a & b <{k}> {{x}}", None if k % 2 else str(k / 2)) for k in range(7)]
+
+
 def test_sheets(spark, tmp_path):
     df = spark.createDataFrame([("Sheet1", 1), ("two", 2)], "sheet string, v int")
     writers.write_sheets(df, str(tmp_path / "s"))
@@ -70,6 +82,21 @@ def test_sheets(spark, tmp_path):
         writers.add_sheet_column(df.filter("sheet = 'two'"), str(tmp_path / "u"), "code", F.lit("x"))
 
 
+def test_edges_go_to_a_client_in_batches(spark, tmp_path):
+    edges = spark.range(25).selectExpr("cast(id as string) AS head", "'x' AS tail")
+    folder = str(tmp_path)
+
+    def client(rows):
+        import uuid
+        from pathlib import Path
+
+        Path(folder, uuid.uuid4().hex).write_text(json.dumps(rows))
+
+    writers.write_graph_to(edges, client, parallel=2, batch=4)
+    sent = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    assert max(map(len, sent)) <= 4 and sorted(int(r["head"]) for some in sent for r in some) == list(range(25))
+
+
 def test_graph_files(spark, tmp_path):
     edges = spark.createDataFrame([(1, "a", "H", "LEADS_TO", "b", "H"), (1, "a", "H", "CAUSED_BY", "b", "H")], "case_id long, head string, head_type string, relation string, tail string, tail_type string")
     writers.write_graph(edges.selectExpr("head AS name", "head_type AS type").distinct(), edges, str(tmp_path / "g"))

@@ -34,7 +34,7 @@ def test_sections(spark):
 
 def test_small_functions(spark):
     assert one(spark, tx.normalize_space, " a　 b\n\tc ") == "a b c"
-    assert one(spark, tx.strip_code_fence, '```json\n{"a": 1}\n```').strip() == '{"a": 1}'
+    assert one(spark, tx.strip_code_fence, '```json\n{"a": 1}\n\t```') == '{"a": 1}'
     assert one(spark, tx.strip_code_fence, "plain") == "plain"
     assert one(spark, tx.split_labels, " a；b;; c ;") == ["a", "b", "c"]
     assert one(spark, tx.split_labels, None) == []
@@ -44,6 +44,11 @@ def test_small_functions(spark):
     assert one(spark, lambda c: tx.first_contained(c, ["Spatter"]), "pores") is None
 
 
+def test_render(spark):
+    row = spark.createDataFrame([("a {b}", 3), (None, 4)], "t string, n int").select(tx.render("{{}} {text}: {n}!", text=F.col("t"), n=F.col("n")).alias("r")).collect()
+    assert [r[0] for r in row] == ["{} a {b}: 3!", "{} : 4!"]
+
+
 def test_answers(spark):
     good = json.dumps({"Human": ["a", "b"], "Material": []})
     assert one(spark, tx.parse_labels, good) == {"Human": ["a", "b"], "Material": []}
