@@ -1,15 +1,16 @@
 """Multi-information ("coupling") of factor subsets, in bits.
 
 ``T(S) = sum over states p * log2(p / product of the factors' marginals)``. Cases are first
-reduced to their distinct masks, at most 2 ** factors rows however many cases there are; each
-mask is then projected on all subsets in one pass, with partial sums before the shuffle.
+reduced to their distinct masks, at most 2 ** factors rows however many cases there are. Each
+mask counts for the small sets of factors that it holds; the number of cases in any state of
+any subset follows from these counts by inclusion and exclusion, exactly, as they are integers.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.taxonomy import Taxonomy
@@ -54,29 +55,45 @@ def subsets(size: int, orders: tuple[int, ...]) -> list[int]:
     return [sum(1 << k for k in c) for o in orders for c in combinations(range(size), o)]
 
 
+def holding(states_: DataFrame, size: int, most: int) -> DataFrame:
+    """One row: a map from each set of at most ``most`` factors to the number of cases that have them all.
+
+    The empty set has all cases. Sets that no case has are not in the map.
+    """
+    every = _masks([0, *subsets(size, tuple(range(1, most + 1)))])
+    held = states_.select("n", F.explode(F.filter(every, lambda u: u.bitwiseAND(F.col("mask")) == u)).alias("set"))
+    counts = held.groupBy("set").agg(F.sum("n").alias("n"))
+    return counts.agg(F.map_from_entries(F.collect_list(F.struct("set", "n"))).alias("cases"))
+
+
+def _masks(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("bigint") for v in values])
+
+
 def couplings(states_: DataFrame, taxonomy: Taxonomy, orders: tuple[int, ...], eps: float) -> DataFrame:
     """(order, subset, factors, t_value) of every subset; no rows for no cases.
 
     States with p, or a product of marginals, of at most ``eps`` add nothing.
     """
     size = len(taxonomy.codes)
-    every = F.array(*[F.lit(m).cast("bigint") for m in subsets(size, orders)])
-    spread = states_.select("mask", "n", F.explode(every).alias("subset"))
-    local = spread.groupBy("subset", F.col("mask").bitwiseAND(F.col("subset")).alias("state")).agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
-    counts = factor_counts(states_, size).withColumn("one", F.lit(1))
-    joined = local.join(F.broadcast(counts), "one")  # one row of size + 1 numbers
-    total = F.col("total").cast("double")
-
-    product = F.lit(1.0)
-    for k in range(size):
-        bit = F.lit(1 << k).cast("bigint")
-        ones = F.col("ones")[k]
-        share = F.when(F.col("state").bitwiseAND(bit) != 0, ones).otherwise(F.col("total") - ones).cast("double") / total
-        product = product * F.when(F.col("subset").bitwiseAND(bit) != 0, share).otherwise(F.lit(1.0))
-    terms = joined.select("subset", (F.col("n").cast("double") / total).alias("p"), product.alias("q"))
-    term = F.when((F.col("p") > eps) & (F.col("q") > eps), F.col("p") * F.log2(F.col("p") / F.col("q"))).otherwise(F.lit(0.0))
-    sums = terms.groupBy("subset").agg(F.sum(term).alias("t_value"))
-    return sums.select(F.bit_count("subset").cast("int").alias("order"), "subset", bits_to_codes(F.col("subset"), taxonomy).alias("factors"), "t_value")
+    one = holding(states_, size, max(orders)).filter(F.size("cases") > 0)
+    spread = one.select("cases", F.explode(_masks(subsets(size, orders))).alias("subset"))
+    every = _masks([0, *subsets(size, tuple(range(1, max(orders) + 1)))])
+    spread = spread.withColumn("inside", F.filter(every, lambda u: u.bitwiseAND(F.col("subset")) == u))
+    cases = lambda u: F.coalesce(F.try_element_at("cases", u), F.lit(0).cast("bigint"))
+    total = cases(F.lit(0).cast("bigint")).cast("double")
+    bits = F.filter(_masks([1 << k for k in range(size)]), lambda b: b.bitwiseAND(F.col("subset")) != 0)
+
+    def state(s: Column) -> Column:
+        """Cases in exactly this state of the subset, and the product of its marginals."""
+        above = F.filter("inside", lambda u: u.bitwiseAND(s) == s)
+        n = F.aggregate(above, F.lit(0).cast("bigint"), lambda a, u: a + F.when(F.bit_count(u.bitwiseXOR(s)) % 2 == 0, cases(u)).otherwise(-cases(u)))
+        q = F.aggregate(bits, F.lit(1.0), lambda a, b: a * (F.when(s.bitwiseAND(b) != 0, cases(b)).otherwise(total - cases(b)).cast("double") / total))
+        return F.struct((n.cast("double") / total).alias("p"), q.alias("q"))
+
+    term = lambda x: F.when((x["p"] > eps) & (x["q"] > eps), x["p"] * F.log2(x["p"] / x["q"])).otherwise(F.lit(0.0))
+    t = F.aggregate(F.transform("inside", state), F.lit(0.0), lambda a, x: a + term(x))
+    return spread.select(F.bit_count("subset").cast("int").alias("order"), "subset", bits_to_codes(F.col("subset"), taxonomy).alias("factors"), t.alias("t_value"))
 
 
 def main_couplings(states_: DataFrame, taxonomy: Taxonomy) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def edge_counts(edges: DataFrame, relation: str | None = "LEADS_TO") -> DataFrame:
     """(source, target, cnt) of edges (head, tail[, relation])."""
@@ -38,48 +40,61 @@ def strongest_successors(frequency: DataFrame, k: int) -> DataFrame:
     return frequency.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
 
 
+def steps(transitions: DataFrame) -> DataFrame:
+    """(s, t, p, hop, onward): all edges between different nodes (hop 1) and for each node one step that stays (hop 0).
+
+    ``onward``: whether ``t`` has an outgoing edge. Stored, as every hop reads it.
+    """
+    edges = transitions.filter("p > 0").select("s", "t", "p")
+    sources = edges.select(F.col("s").alias("from")).distinct()
+    moves = edges.filter("s <> t").withColumn("hop", F.lit(1))
+    nodes = edges.select("s").union(edges.select("t")).distinct()
+    every = moves.unionByName(nodes.select("s", F.col("s").alias("t"), F.lit(1.0).alias("p"), F.lit(0).alias("hop")))
+    return stored(every.join(sources, F.col("t") == F.col("from"), "left").select("s", "t", "p", "hop", F.col("from").isNotNull().alias("onward")))
+
+
+def _renamed(steps_: DataFrame) -> DataFrame:
+    return steps_.select(*[F.col(c).alias(f"_{c}") for c in steps_.columns])
+
+
 def simple_paths(transitions: DataFrame, hops: int = 4) -> DataFrame:
     """(nodes, prob) of every path without a repeated node and of 1 to ``hops`` edges.
 
-    A repeated node never raises a product of probabilities, so the best path between two
-    nodes is always among these. The product runs left to right from 1.
+    The product runs left to right from 1. Each hop carries all paths on and extends the newest.
     """
-    edges = transitions.filter("s <> t AND p > 0").select("s", "t", "p")
-    step = edges.select(F.col("s").alias("_s"), F.col("t").alias("_t"), F.col("p").alias("_p"))
-    now = edges.select(F.array("s", "t").alias("nodes"), (F.lit(1.0) * F.col("p")).alias("prob"))
-    out = now
-    for _ in range(hops - 1):
-        now = now.join(step, (F.element_at("nodes", -1) == F.col("_s")) & ~F.array_contains("nodes", F.col("_t"))).select(F.array_append("nodes", F.col("_t")).alias("nodes"), (F.col("prob") * F.col("_p")).alias("prob"))
-        out = out.unionByName(now)
-    return out
+    every = steps(transitions)
+    step = _renamed(every)
+    now = every.filter("hop = 1").select(F.array("s", "t").alias("nodes"), (F.lit(1.0) * F.col("p")).alias("prob"))
+    for k in range(2, hops + 1):
+        stays, fits = F.col("_hop") == 0, (F.size("nodes") == k) & ~F.array_contains("nodes", F.col("_t"))
+        joined = now.join(step, (F.element_at("nodes", -1) == F.col("_s")) & (stays | fits))
+        now = joined.select(F.when(stays, F.col("nodes")).otherwise(F.array_append("nodes", F.col("_t"))).alias("nodes"), (F.col("prob") * F.col("_p")).alias("prob"))
+    return now
 
 
 def best_paths(transitions: DataFrame, hops: int = 4, include_sinks: bool = False) -> DataFrame:
     """(start_node, end_node, nodes, max_path, prob): the best path of each pair that has one.
 
     Ends are nodes with an outgoing edge, unless ``include_sinks``. Equal products go to the
-    shorter path, then to the smaller text.
-    """
-    paths = simple_paths(transitions, hops).select(F.col("nodes")[0].alias("start_node"), F.element_at("nodes", -1).alias("end_node"), "nodes", "prob")
-    if not include_sinks:
-        sources = transitions.select(F.col("s").alias("end_node")).distinct()
-        paths = paths.join(sources, "end_node", "left_semi")
-    key = F.struct((-F.col("prob")).alias("minus"), F.size("nodes").alias("n"), F.array_join("nodes", " -> ").alias("path"), "nodes")
-    best = paths.groupBy("start_node", "end_node").agg(F.min(key).alias("b"))
-    return best.select("start_node", "end_node", F.col("b.nodes").alias("nodes"), F.col("b.path").alias("max_path"), (-F.col("b.minus")).alias("prob"))
-
-
-def best_values(transitions: DataFrame, hops: int = 4) -> DataFrame:
-    """(start_node, end_node, prob) by dynamic programming, for graphs of many nodes.
-
-    Keeps one value for each (start, current node) and hop instead of every path.
+    shorter path, then to the smaller text. After each hop one path is left of each pair, so
+    work grows with pairs times edges of a node, not with the number of paths. That is enough:
+    the best of ``hops`` edges extends a best one of fewer, and as no probability exceeds 1, a
+    path that repeats a node is never better than the same one without the loop.
     """
-    edges = transitions.filter("s <> t AND p > 0").select(F.col("s").alias("_s"), F.col("t").alias("_t"), F.col("p").alias("_p"))
-    now = edges.select(F.col("_s").alias("start_node"), F.col("_t").alias("end_node"), F.col("_p").alias("prob"))
+    every = steps(transitions)
+    step = _renamed(every)
+    now = every.filter("hop = 1").select(F.col("s").alias("start_node"), F.col("t").alias("end_node"), F.struct((-F.col("p")).alias("minus"), F.lit(2).alias("n"), F.concat("s", F.lit(" -> "), "t").alias("path"), F.array("s", "t").alias("nodes"), "onward").alias("b"))
     for _ in range(hops - 1):
-        longer = now.join(edges, (F.col("end_node") == F.col("_s")) & (F.col("start_node") != F.col("_t"))).select("start_node", F.col("_t").alias("end_node"), (F.col("prob") * F.col("_p")).alias("prob"))
-        now = now.unionByName(longer).groupBy("start_node", "end_node").agg(F.max("prob").alias("prob"))
-    return now
+        joined = now.join(step, (F.col("end_node") == F.col("_s")) & (F.col("start_node") != F.col("_t")))
+        stays = F.col("_hop") == 0
+        longer = F.struct(
+            (F.col("b.minus") * F.col("_p")).alias("minus"), (F.col("b.n") + F.col("_hop")).alias("n"), F.when(stays, F.col("b.path")).otherwise(F.concat("b.path", F.lit(" -> "), "_t")).alias("path"),
+            F.when(stays, F.col("b.nodes")).otherwise(F.array_append("b.nodes", F.col("_t"))).alias("nodes"), F.col("_onward").alias("onward"),
+        )
+        now = joined.select("start_node", F.col("_t").alias("end_node"), longer.alias("b")).groupBy("start_node", "end_node").agg(F.min("b").alias("b"))
+    if not include_sinks:
+        now = now.filter("b.onward")
+    return now.select("start_node", "end_node", F.col("b.nodes").alias("nodes"), F.col("b.path").alias("max_path"), (-F.col("b.minus")).alias("prob"))
 
 
 def top_paths(paths: DataFrame, n: int = 5) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Cases are orders; a part's type (six, in alphabetical order) stands for a main factor and its
 brand number for a sub-factor (1 to 17; the others are unknown labels). Events of a user in
-time order are the edges of a cause graph. Where a query prunes a graph to the strongest
-successors of each node, that is a choice of this test binding, not of the operators.
+time order are the edges of a cause graph; paths are searched over all its edges. Only
+``edge_prune_topk`` cuts a graph to the ``SUCCESSORS`` strongest targets of each node, as that
+is the operator it shows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.taxonomy import MAIN, SUB, Taxonomy
 from ..operators import classify, coupling, describe, encode, graph, scoring, transitions
+from ..operators.stored import stored
 
 # The six part types in alphabetical order.
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -371,8 +373,8 @@ def _top(edges: str) -> str:
     return f"SELECT s, t, cnt FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY cnt DESC, t) AS r FROM ({edges})) WHERE r <= {SUCCESSORS}"
 
 
-_EVENT_TOP = _top(f"SELECT source AS s, target AS t, cnt FROM ({_EDGES})")
-_BRAND_TOP = _top(_BRAND_EDGES)
+_EVENT_EDGES = f"SELECT source AS s, target AS t, cnt FROM ({_EDGES})"
+_EVENT_TOP, _BRAND_TOP = _top(_EVENT_EDGES), _top(_BRAND_EDGES)
 
 
 @query(f"SELECT 'event' AS graph, s, t, CAST(cnt AS BIGINT) AS cnt FROM ({_EVENT_TOP}) UNION ALL SELECT 'brand', s, t, CAST(cnt AS BIGINT) FROM ({_BRAND_TOP})")
@@ -381,42 +383,39 @@ def edge_prune_topk(spark, sf):
     return one.unionByName(transitions.strongest_successors(_brand_frequency(spark, sf), SUCCESSORS).select(F.lit("brand").alias("graph"), "s", "t", "cnt"))
 
 
-def _paths_sql(top: str) -> str:
+def _paths_sql(edges: str) -> str:
     """All simple paths of up to four edges, by recursion."""
     return f"""
-WITH RECURSIVE e AS (SELECT s, t, cnt / CAST(sum(cnt) OVER (PARTITION BY s) AS DOUBLE) AS p FROM ({top})),
+WITH RECURSIVE e AS (SELECT s, t, cnt / CAST(sum(cnt) OVER (PARTITION BY s) AS DOUBLE) AS p FROM ({edges})),
 w(nodes, last, prob) AS (SELECT [s, t], t, p FROM e WHERE s <> t UNION ALL SELECT list_append(nodes, e.t), e.t, prob * e.p FROM w JOIN e ON w.last = e.s WHERE NOT list_contains(nodes, e.t) AND len(nodes) < 5)"""
 
 
-_BEST = "best AS (SELECT *, row_number() OVER (PARTITION BY nodes[1], last ORDER BY prob DESC, len(nodes), array_to_string(nodes, ' -> ')) AS r FROM w WHERE last IN (SELECT s FROM e))"
+_BEST = "best AS (SELECT nodes[1] AS start_node, last, min({'minus': -prob, 'n': len(nodes), 'path': array_to_string(nodes, ' -> '), 'nodes': nodes}) AS b FROM w WHERE last IN (SELECT s FROM e) GROUP BY 1, 2)"
+_BEST_ROWS = "SELECT start_node, last AS end_node, b.path AS max_path, round(-b.minus, 9) AS prob FROM best"
 
 
-def _pruned(frequency: DataFrame) -> DataFrame:
-    return transitions.transition_probabilities(transitions.strongest_successors(frequency, SUCCESSORS))
-
-
-@query(f"{_paths_sql(_EVENT_TOP)} SELECT array_to_string(nodes, ' -> ') AS path, round(prob, 9) AS prob FROM w")
+@query(f"{_paths_sql(_EVENT_EDGES)} SELECT array_to_string(nodes, ' -> ') AS path, round(prob, 9) AS prob FROM w")
 def path_enumerate(spark, sf):
-    paths = transitions.simple_paths(_pruned(_event_frequency(spark, sf)))
+    paths = transitions.simple_paths(transitions.transition_probabilities(_event_frequency(spark, sf)))
     return paths.select(F.array_join("nodes", " -> ").alias("path"), F.round("prob", 9).alias("prob"))
 
 
 def _best(spark, sf) -> DataFrame:
-    return transitions.best_paths(_pruned(_brand_frequency(spark, sf)))
+    return transitions.best_paths(transitions.transition_probabilities(_brand_frequency(spark, sf)))
 
 
-@query(f"{_paths_sql(_EVENT_TOP)}, {_BEST} SELECT nodes[1] AS start_node, last AS end_node, array_to_string(nodes, ' -> ') AS max_path, round(prob, 9) AS prob FROM best WHERE r = 1")
+@query(f"{_paths_sql(_EVENT_EDGES)}, {_BEST} {_BEST_ROWS}")
 def best_paths(spark, sf):
-    best = transitions.best_paths(_pruned(_event_frequency(spark, sf)))
+    best = transitions.best_paths(transitions.transition_probabilities(_event_frequency(spark, sf)))
     return rounded(best.drop("nodes"), "prob")
 
 
-@query(f"{_paths_sql(_BRAND_TOP)}, {_BEST} SELECT nodes[1] AS start_node, last AS end_node, array_to_string(nodes, ' -> ') AS max_path, round(prob, 9) AS prob FROM best WHERE r = 1")
+@query(f"{_paths_sql(_BRAND_EDGES)}, {_BEST} {_BEST_ROWS}")
 def best_paths_brand(spark, sf):
     return rounded(_best(spark, sf).drop("nodes"), "prob")
 
 
-@query(f"{_paths_sql(_BRAND_TOP)}, {_BEST} SELECT array_to_string(nodes, ' -> ') AS max_path, round(prob, 9) AS prob FROM best WHERE r = 1 ORDER BY round(prob, 12) DESC, len(nodes), max_path LIMIT 5")
+@query(f"{_paths_sql(_BRAND_EDGES)}, {_BEST} SELECT b.path AS max_path, round(-b.minus, 9) AS prob FROM best ORDER BY round(-b.minus, 12) DESC, b.n, b.path LIMIT 5")
 def top5_paths(spark, sf):
     best = _best(spark, sf).withColumn("prob", F.round("prob", 12))
     return transitions.top_paths(best).select("max_path", F.round("prob", 9).alias("prob"))
@@ -430,8 +429,8 @@ def _risks(spark, sf) -> DataFrame:
     return scoring.join_risks(_sub(spark, sf).withColumn("t_value", F.round("t_value", 12)), paths.withColumn("prob", F.round("prob", 12)))
 
 
-_RISKS = f"""{_paths_sql(_BRAND_TOP)}, {_BEST},
-pc AS (SELECT list_transform(nodes, lambda x: coalesce({_CODE}, 'UNK')) AS codes, round(prob, 12) AS prob FROM best WHERE r = 1 AND len(nodes) IN (2, 3)),
+_RISKS = f"""{_paths_sql(_BRAND_EDGES)}, {_BEST},
+pc AS (SELECT list_transform(b.nodes, lambda x: coalesce({_CODE}, 'UNK')) AS codes, round(-b.minus, 12) AS prob FROM best WHERE b.n IN (2, 3)),
 cp AS ({_SUB_SQL.replace("round(t, 9) + 0.0", "round(t, 12)")}),
 risks AS (SELECT CAST(len(codes) AS INT) AS "order", array_to_string(codes, ' ') AS factor_code, t_value AS coupling_t, prob AS transition_prob FROM pc JOIN cp ON list_sort(codes) = list_sort(string_split(factors, ',')) WHERE NOT list_contains(codes, 'UNK') AND t_value > 0.000001),
 sweep AS (SELECT risks.*, range / 10.0 AS alpha, range / CAST(10 AS DOUBLE) * coupling_t + (10 - range) / CAST(10 AS DOUBLE) * transition_prob AS score FROM risks, range(11)),
@@ -451,7 +450,7 @@ def alpha_sweep(spark, sf):
 
 @query(f"{_RISKS} SELECT CAST(a.alpha AS DOUBLE) AS alpha, CAST(count(b.factor_code) AS BIGINT) AS overlap FROM top a LEFT JOIN (SELECT factor_code FROM top WHERE alpha = 0.5) b ON a.factor_code = b.factor_code GROUP BY 1")
 def topn_overlap(spark, sf):
-    return scoring.overlap_with_baseline(scoring.top_by_alpha(scoring.alpha_grid(_risks(spark, sf))))
+    return scoring.overlap_with_baseline(scoring.top_by_alpha(scoring.alpha_grid(stored(_risks(spark, sf)))))
 
 
 @query(f"{_RISKS} SELECT CAST(s.alpha AS DOUBLE) AS alpha, s.factor_code, round(s.score, 9) AS score FROM sweep s JOIN top b ON b.alpha = 0.5 AND b.factor_code = s.factor_code")

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from perilmap.operators import describe, scoring, transitions
@@ -55,8 +56,32 @@ def test_against_walks(spark, seed):
     want = {k: v for k, v in walks(p, nodes, 4).items() if k[1] in sources}
     got = {(r["start_node"], r["end_node"]): r["prob"] for r in transitions.best_paths(df).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
-    fast = {(r["start_node"], r["end_node"]): r["prob"] for r in transitions.best_values(df).collect() if r["end_node"] in sources}
-    assert fast.keys() == want.keys() and all(abs(fast[k] - v) < 1e-12 for k, v in want.items())
+    # Every simple path, and the best of them with its ties: the same as what the recurrence keeps.
+    paths = [(r["nodes"], r["prob"]) for r in transitions.simple_paths(df).collect()]
+    assert len({tuple(n) for n, _ in paths}) == len(paths) == sum(1 for n in range(2, 6) for w in itertools.permutations(nodes, n) if all(e in p for e in itertools.pairwise(w)))
+    least = {}
+    for n, v in paths:
+        if n[-1] in sources:
+            key = (-v, len(n), " -> ".join(n))
+            least[(n[0], n[-1])] = min(least.get((n[0], n[-1]), key), key)
+    assert {(r["start_node"], r["end_node"]): (r["max_path"], r["prob"]) for r in transitions.best_paths(df).collect()} == {k: (v[2], -v[0]) for k, v in least.items()}
+
+
+def test_dense_graph(spark):
+    """150 nodes, all joined: half a billion paths of four edges, of which the recurrence keeps one for each pair."""
+    edges = spark.range(150).selectExpr("cast(id as string) AS s").crossJoin(spark.range(150).selectExpr("cast(id as string) AS t")).selectExpr("s", "t", "1 + pmod(xxhash64(s, t), 50) AS cnt")
+    df = transitions.transition_probabilities(edges)
+    best = transitions.best_paths(df)
+    assert best._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 4
+    got = {(r["start_node"], r["end_node"]): r["prob"] for r in best.collect()}
+    p = np.zeros((150, 150))
+    for r in df.collect():
+        p[int(r["s"]), int(r["t"])] = r["p"]
+    np.fill_diagonal(p, 0)
+    now = p.copy()
+    for _ in range(3):
+        now = np.maximum(now, np.stack([(now[i][:, None] * p).max(0) for i in range(150)]))
+    assert len(got) == 150 * 149 and all(abs(got[(str(i), str(j))] - now[i, j]) < 1e-12 for i in range(150) for j in range(150) if i != j)
 
 
 def test_empty_graph(spark):
