@@ -8,11 +8,13 @@ diagonals. Shared q-grams are therefore counted in bands of ``2 (e + 1)`` diagon
 overlap by half, bands that reach the bound are kept and verified by a banded alignment.
 
 The benchmark is taken in blocks of at most ``BLOCK_CHARS`` characters, each of which is
-sent to the executors and held against all documents; documents are never shuffled, and
-long ones are read in overlapping pieces.
+sent to the executors and held against all documents, so documents are read once for each
+block, never shuffled, and long ones are taken in overlapping pieces. Shared q-grams are
+expanded ``HITS`` at a time, however often a text repeats one.
 
-Cases: null or empty texts match nothing; items shorter than ``Q`` after folding cannot be
-counted and match nothing; equal items each report their matches; repeated rows are each
+Cases: null or empty texts match nothing; items of fewer than ``Q`` bytes after folding share no
+q-gram and are found where they stand as whole words without an edit; items that fold to
+nothing match nothing; equal items each report their matches; repeated rows are each
 judged; an empty benchmark or table gives no rows; other columns are ignored.
 """
 
@@ -33,6 +35,7 @@ Q = 8
 ERROR_RATE = 0.1
 BLOCK_CHARS = 2_000_000
 PIECE = 1 << 19
+HITS = 1 << 20
 _FILTER_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _GAPS = re.compile(r"[\W_]+")
@@ -109,10 +112,13 @@ class Index:
     bound: np.ndarray
     widest: int
     overlap: int
+    short: list[tuple]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Index:
-        rows = [(i, f) for i, t in rows if len(f := folded(t or "")) >= Q]
+        every = [(i, folded(t or "")) for i, t in rows]
+        short = [(i, f) for i, f in every if 0 < len(f) < Q]
+        rows = [(i, f) for i, f in every if len(f) >= Q]
         items = [f for _, f in rows]
         per = [codes(np.frombuffer(f, dtype=np.uint8)) for f in items]
         grams = np.concatenate(per) if per else np.empty(0, np.uint64)
@@ -124,32 +130,38 @@ class Index:
         sizes = np.array([len(f) for f in items], dtype=np.int64)
         edits = np.array([budget(len(f)) for f in items], dtype=np.int64)
         widest = int(sizes.max(initial=0))
-        return cls([i for i, _ in rows], items, grams[order], owner[order], place[order], seen, edits, sizes + 1 - Q - Q * edits, widest, 2 * (widest + 3 * budget(widest) + 3))
+        return cls([i for i, _ in [*rows, *short]], items, grams[order], owner[order], place[order], seen, edits, sizes + 1 - Q - Q * edits, widest, 2 * (widest + 3 * budget(widest) + 3), short)
 
-    def candidates(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, band) whose shared q-grams reach the bound."""
-        c = codes(data)
+    def shared(self, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item and band as one key, place in the item) of all shared q-grams, about ``HITS`` at a time; each is in two bands."""
         at = np.flatnonzero(self.seen[_slot(c)])
-        if not len(at):
-            return
         first = np.searchsorted(self.grams, c[at])
         n = np.searchsorted(self.grams, c[at], side="right") - first
         at, first, n = at[n > 0], first[n > 0], n[n > 0]
-        if not len(at):
-            return
-        k = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        owner = self.owner[k]
-        place = self.place[k]
-        band = (np.repeat(at, n) - place + self.widest) // (self.edits[owner] + 1)
-        key = (owner << 32) | band
-        keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1
+        for at_, first_, n_ in zip(np.split(at, cuts), np.split(first, cuts), np.split(n, cuts), strict=True):
+            if not len(at_):
+                continue
+            k = np.repeat(first_ - np.concatenate([[0], np.cumsum(n_)[:-1]]), n_) + np.arange(n_.sum())
+            owner, place = self.owner[k], self.place[k]
+            key = (owner << 32) | ((np.repeat(at_, n_) - place + self.widest) // (self.edits[owner] + 1))
+            yield np.concatenate([key, key - 1]), np.concatenate([place, place])
+
+    def candidates(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, band) whose shared q-grams reach the bound."""
+        c = codes(data)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for key, _ in self.shared(c):
+            keys, where = np.unique(np.concatenate([keys, key]), return_inverse=True)
+            counts = np.bincount(where, np.concatenate([counts, np.ones(len(key), np.int64)]), len(keys)).astype(np.int64)
         full = keys[counts >= self.bound[keys >> 32]]
         if not len(full):
             return
         # A q-gram of the item counts once, however often the band repeats it.
-        key, place = np.concatenate([key, key - 1]), np.concatenate([place, place])
-        mine = np.isin(key, full)
-        once = np.unique(np.stack([key[mine], place[mine]]), axis=1)
+        once = np.empty((2, 0), np.int64)
+        for key, place in self.shared(c):
+            mine = np.isin(key, full)
+            once = np.unique(np.concatenate([once, np.stack([key[mine], place[mine]])], axis=1), axis=1)
         keys, counts = np.unique(once[0], return_counts=True)
         for x in keys[counts >= self.bound[keys >> 32]].tolist():
             yield x >> 32, x & ((1 << 32) - 1)
@@ -157,9 +169,16 @@ class Index:
     def matches(self, text: str | None) -> dict[int, tuple[int, int, int]]:
         """Of a text, the best match of each item: (edits, start, length) in the folded text."""
         found: dict[int, tuple[int, int, int]] = {}
-        if not text or not self.items:
+        if not text or not self.ids:
             return found
         whole, overlap, widest = folded(text), self.overlap, self.widest
+        if self.short:
+            spaced = b" " + whole + b" "
+            for j, (_, item) in enumerate(self.short, len(self.items)):
+                if (at := spaced.find(b" " + item + b" ")) >= 0:
+                    found[j] = (0, at, len(item))
+        if not self.items:
+            return found
         at = 0
         while True:
             part = whole[at : at + PIECE + overlap]
@@ -209,6 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, out_dir: str, block_char
 
         found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(search, RESULT)
         found = written(found, f"{out_dir}/block{k}")
+        shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], RESULT)
 

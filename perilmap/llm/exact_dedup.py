@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import fresh, shared_dir, table, written
 
 #: Digests of hits (about 100 bytes each) that may be broadcast.
 BROADCAST_DIGESTS = 100_000
@@ -59,18 +59,17 @@ def placed(docs: DataFrame, out_dir: str) -> DataFrame:
     return written(docs, f"{out_dir}/placed")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with its rows' places, as far as they come from files."""
+def located(docs: DataFrame, *columns, path: str = "_path", row: str = "_row") -> DataFrame:
+    """``columns`` of ``docs`` with its rows' places, as far as they come from files."""
     try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+        return docs.select(*columns, F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(row))
     except AnalysisException:
-        return docs.select("*", F.lit(None).cast("string").alias("_path"), F.lit(None).cast("long").alias("_row", metadata={"absent": True}))
+        return docs.select(*columns, F.lit(None).cast("string").alias(path), F.lit(None).cast("long").alias(row, metadata={"absent": True}))
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return located(docs.select("doc_id", "text") if "_metadata" in docs.columns else docs).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"), "_path", "_row"
-    )
+    docs = docs.select("doc_id", "text") if "_metadata" in docs.columns else docs
+    return located(docs, F.col("doc_id").cast("long").alias("doc_id"), F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"))
 
 
 def identity() -> F.Column:
@@ -120,7 +119,7 @@ def exact_groups(docs: DataFrame, out_dir: str) -> DataFrame:
     if bad.isEmpty():
         return shape(rows.join(state, "digest"))
     # Texts that share a digest without being equal: group those digests by the text itself.
-    texts = located(docs).select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t"), "_path", "_row").withColumn("digest", F.sha2(F.col("t").cast("binary"), 256)).join(bad, "digest", "left_semi")
+    texts = located(docs, F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("t")).withColumn("digest", F.sha2(F.col("t").cast("binary"), 256)).join(bad, "digest", "left_semi")
     own = texts.groupBy("digest", "t").agg(F.min(identity()).alias("first"), F.count(F.lit(1)).alias("n"))
     return shape(rows.join(bad, "digest", "left_anti").join(state, "digest")).unionByName(shape(texts.join(own, ["digest", "t"])))
 
@@ -133,7 +132,9 @@ def drop_copies(docs: DataFrame, out_dir: str) -> DataFrame:
     gone = written(exact_groups(docs, out_dir).filter(~F.col("kept")).select("_path", "_row"), f"{out_dir}/gone")
     if gone.count() <= BROADCAST_DIGESTS:
         gone = F.broadcast(gone)
-    return located(docs).join(gone, ["_path", "_row"], "left_anti").select(*docs.columns)
+    path, row = fresh("path", docs.columns), fresh("row", docs.columns)
+    here = located(docs, "*", path=path, row=row)
+    return here.join(gone, (here[path] == gone["_path"]) & (here[row] == gone["_row"]), "left_anti").select(*docs.columns)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

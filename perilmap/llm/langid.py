@@ -6,9 +6,12 @@ that has the n-gram at once. A text's n-grams are counted for each language bit,
 is corrected for that filter's false positive rate, and the largest wins. Its score is the
 share of its odds, which double with each n-gram that it has beyond another language.
 
-Training reads a bounded sample: of each language's labelled, not held-out documents of at
-most ``SAMPLE_CHARS`` characters the ``SAMPLE_DOCS`` with the smallest hash of their id. The
-model's size is fixed by ``SLOTS`` and the width of the mask (up to 64 languages).
+Training reads a bounded sample of each language's labelled, not held-out documents: those
+whose hash falls under a share chosen from the language's count, so that ``SAMPLE_DOCS`` are
+expected. Documents of more than ``SAMPLE_CHARS`` characters are read only for languages that
+have no other. N-grams are counted in the tasks and set as bits there; what reaches the driver
+is the filters, at most ``SLOTS`` numbers for each 64 languages. N-grams seen fewer than
+``MIN_COUNT`` times are left out where the language has ``FEW_DOCS`` documents or more.
 
 Cases: a null text or one without a letter is ``und`` with score 0; without training rows all
 are ``und``; ties go to the language with more training documents, then by name; texts are
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, pieces_of, small_batches, table
@@ -33,8 +36,7 @@ SLOTS = 1 << 20
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SAMPLE_DOCS = 1500
 SAMPLE_CHARS = 20_000
-MOST_LANGUAGES = 64
-MIN_COUNT = 2
+MIN_COUNT, FEW_DOCS = 2, 20
 BLOCK = 1 << 19
 UNKNOWN = "und"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -66,9 +68,19 @@ def slots(codes: np.ndarray) -> Iterator[np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]  # by number of training documents, then name
-    masks: np.ndarray
+    words: list[np.ndarray]  # for each 64 languages, every slot's mask
     false_rate: np.ndarray
 
+    @classmethod
+    def of(cls, languages: list[str], slot: np.ndarray, word: np.ndarray, mask: np.ndarray) -> Model:
+        """From the slots that are set: slot, which 64 languages, and their bits."""
+        width = next((w for w in (8, 16, 32) if len(languages) <= w), 64)
+        words = [np.zeros(SLOTS, dtype=f"u{width // 8}") for _ in range(max(1, -(-len(languages) // 64)))]
+        for k, w in enumerate(words):
+            w[slot[word == k]] = mask[word == k].view(np.uint64).astype(w.dtype)
+        rates = [np.mean(words[bit // 64] >> np.asarray(bit % 64, words[0].dtype) & 1) ** len(HASHES) for bit in range(len(languages))]
+        return cls(languages, words, np.array(rates))
+
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(n-grams of each text, corrected number that each language has)."""
         data = [folded(t) for t in texts]
@@ -79,17 +91,19 @@ class Model:
             ends = np.cumsum([b - a for _, a, b in block])
             starts = np.concatenate([[0], ends[:-1]])
             codes = grams(joined)
-            masks = np.full(len(codes), np.iinfo(self.masks.dtype).max, dtype=self.masks.dtype)
-            for s in slots(codes):
-                masks &= self.masks[s]
+            at = list(slots(codes))
             real = codes != 0x20202020
             for k in range(1, GRAM):  # windows that reach into the next text
                 real[ends[:-1] - k] = False
-            masks[~real] = 0
             which = np.array([i for i, _, _ in block])
             np.add.at(total, which, np.add.reduceat(real, starts, dtype=np.int64))
-            for bit in range(len(self.languages)):
-                np.add.at(found[:, bit], which, np.add.reduceat((masks >> self.masks.dtype.type(bit)) & 1, starts, dtype=np.int64))
+            for k, word in enumerate(self.words):
+                masks = word[at[0]]
+                for s in at[1:]:
+                    masks &= word[s]
+                masks[~real] = 0
+                for bit in range(64 * k, min(64 * k + 64, len(self.languages))):
+                    np.add.at(found[:, bit], which, np.add.reduceat((masks >> masks.dtype.type(bit % 64)) & 1, starts, dtype=np.int64))
         return total, np.clip((found - total[:, None] * self.false_rate) / (1 - self.false_rate), 0, None)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -105,35 +119,49 @@ class Model:
         return names, scores
 
 
-def fit(samples: dict[str, list[str]]) -> Model:
-    """Set the filters from each language's sample texts."""
-    languages = sorted(samples, key=lambda x: (-len(samples[x]), x))
-    width = next(w for w in (8, 16, 32, 64) if len(languages) <= w)
-    masks = np.zeros(SLOTS, dtype=f"u{width // 8}")
-    rates = np.zeros(len(languages))
-    for bit, name in enumerate(languages):
-        codes, n = np.unique(np.concatenate([grams(folded(t)) for t in samples[name]]), return_counts=True)
-        codes = codes[(n >= MIN_COUNT) & (codes != 0x20202020)]
-        flag = masks.dtype.type(1 << bit)
-        for s in slots(codes):
-            masks[s] |= flag
-        rates[bit] = np.mean(masks & flag != 0) ** len(HASHES)
-    return Model(languages, masks, rates)
-
-
-def training_sample(docs: DataFrame, per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") <= chars)).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang"))
-    names = chosen.select("chosen_lang").distinct().limit(MOST_LANGUAGES + 1).collect()
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # At most MOST_LANGUAGES * per_language ids: small enough to broadcast, so no text is shuffled.
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))).select("lang", "text")
-    out: dict[str, list[str]] = {}
-    for r in texts.toLocalIterator():
-        out.setdefault(r["lang"], []).append(r["text"])
-    return out
+def set_slots(codes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slot, word, mask), each slot once for each word, of n-grams and their languages' bits."""
+    slot = np.concatenate(list(slots(codes)))
+    bits = np.tile(bits.astype(np.int64), len(HASHES))
+    key, where = np.unique(slot * (1 << 20) + bits // 64, return_inverse=True)
+    mask = np.zeros(len(key), dtype=np.uint64)
+    np.bitwise_or.at(mask, where, np.uint64(1) << (bits % 64).astype(np.uint64))
+    return key >> 20, key & ((1 << 20) - 1), mask.view(np.int64)
+
+
+def learn(docs: DataFrame, per_language: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
+    """Set the filters from a sample of each language."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", F.length("text").alias("length"))
+    short = F.count_if(F.col("length") <= chars)
+    known = sorted(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), short.alias("short")).collect(), key=lambda r: (-r["n"], r["lang"]))
+    if not known:
+        return Model([], [np.zeros(SLOTS, np.uint8)], np.empty(0))
+    place = {r["lang"]: k for k, r in enumerate(known)}
+    shares = spark.createDataFrame([(r["lang"], per_language / (r["short"] or r["n"]), not r["short"]) for r in known], "language string, share double, long_too boolean")
+    drawn = F.pmod(F.xxhash64("doc_id", "length"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = rows.join(F.broadcast(shares), F.col("lang") == F.col("language")).filter((drawn < F.col("share")) & (F.col("long_too") | (F.col("length") <= chars))).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for name in set(names):
+                mine = [folded(t) for n, t in zip(names, texts, strict=True) if n == name]
+                codes, n = np.unique(np.concatenate([grams(d) for d in mine]), return_counts=True)
+                real = codes != 0x20202020
+                yield pa.record_batch([pa.array(np.full(real.sum(), place[name], np.int32)), pa.array(codes[real].astype(np.int64)), pa.array(n[real])], ["bit", "code", "n"])
+
+    def place_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.record_batch([pa.array(x) for x in set_slots(b.column(0).to_numpy().astype(np.uint32), b.column(1).to_numpy())], ["slot", "word", "mask"])
+
+    counted = sample.mapInArrow(count, "bit int, code long, n long").groupBy("bit", "code").agg(F.sum("n").alias("n"))
+    few = [k for k, r in enumerate(known) if r["n"] < FEW_DOCS]
+    enough = counted.filter((F.col("n") >= MIN_COUNT) | F.col("bit").isin(few)).select("code", "bit")
+    bits = enough.mapInArrow(place_bits, "slot long, word long, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    return Model.of(list(place), *(bits.column(c).to_numpy() for c in ("slot", "word", "mask")))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -150,4 +178,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, fit(training_sample(docs)))
+    return identify(docs, learn(docs))

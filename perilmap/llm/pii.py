@@ -5,42 +5,49 @@ calendar dates) and then permuted within its own format by a keyed, alternating
 network, so a value always gets the same pseudonym, in every document, and the key's holder
 can undo it:
 
-- cards (13 to 19 digits, separators kept): all digits but the last are permuted as a
-  number, and the last becomes their Luhn digit again;
-- social security numbers: all digits are permuted;
+- cards (a length and first digits that an issuer uses, separators kept): the first four digits
+  stay, the others but the last are permuted as a number, and the last becomes the Luhn digit
+  again;
+- social security numbers that can have been given (no area 000, 666 or from 900 on, no group 00,
+  no serial 0000): permuted among these;
 - telephone numbers: the digits after a country code, or after the 0 and the digit behind it
   that start a national number, are permuted. Shapes: an area code in parentheses; ``+`` and 8
   to 15 digits; ``00`` and a country code; 3-3-4 digits, also after ``1``; ``0`` and 9 to 11 digits
   in all. Groups are split by one space, dot or hyphen; without ``+`` a number must have groups;
-- IPv4 addresses: the 32 bits, as two halves;
-- dates ``yyyy-mm-dd``, ``dd.mm.yyyy``, ``dd/mm/yyyy`` of the years 1800 to 2199: the day's
-  number among the 146,097 days of 400 years (189 x 773); ``mm/dd/yyyy`` where that is the only
-  reading, among the days that have no other;
+- IPv4 addresses: the 32 bits, as two halves; four numbers after ``v``, ``version``, ``release``
+  or ``build`` are a version;
+- dates ``yyyy-mm-dd``, ``dd.mm.yyyy``, ``dd/mm/yyyy`` of the years 200 to 9799: the day's number
+  among the 146,097 days (189 x 773) of its 400 years (1800 to 2199 and so on); ``mm/dd/yyyy``
+  where that is the only reading, among the days that have no other;
 - e-mail addresses (the part before the @) and values of ``token``, ``password``, ``secret``,
   ``api_key`` assignments (all between quotes, or four characters and more up to a space): each
   ASCII letter or digit within its kind, hexadecimal kept so.
 
-Numbers that fail validation are no personal data and stay as they are.
+Numbers that fail validation are no personal data and stay as they are. The key comes from the
+caller; the query takes it from the setting ``KEY_SETTING`` and draws one for the run where
+that is unset.
 
 Cases: null texts stay null and empty ones empty, with no values; texts without candidates are
 returned untouched; repeated rows are each rewritten; null ids keep their rows; an empty table
-gives no rows; only ``doc_id`` and ``text`` are read.
+gives no rows; other columns are kept, and only ``text`` is read.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
-KEY = "perilmap-demonstration-key"
+KEY_SETTING = "spark.perilmap.pseudonymKey"
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 SECRET_NAME = r"(?i:\b(?:access[_-]?token|token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3})"
 SECRET = SECRET_NAME + r"""(?:"[^"\n]{1,200}(?=")|'[^'\n]{1,200}(?=')|["']?[^\s"']{3,}[A-Za-z0-9])"""
-IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
+IP = rf"(?<![\d.])(?<!(?i:\bv|\bver|\bversion|\brelease|\bbuild)[ .:]{{0,2}}){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
 PHONE = r"(?<!\d)\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d)"
@@ -57,6 +64,11 @@ ZERO = (
 #: Calling codes are prefix-free, so a code says itself how long it is.
 CALLING_CODE = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 ANY = "|".join((EMAIL, SECRET, IP, PHONE, SSN, DATE, PLUS, GROUPED, CARD, *ZERO))
+# First digits and lengths of the card issuers' numbers.
+ISSUED = (
+    r"^(?:4(?:\d{12}|\d{15}|\d{18})|5[1-5]\d{14}|(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[689]\d)\d{11}|35(?:2[89]|[3-8]\d)\d{12}"
+    r"|6(?:011|4[4-9]\d|5\d\d)\d{12}|62\d{14,17}|(?:5018|5020|5038|5893|6304|6759|676[1-3])\d{9,15})$"
+)
 #: A text without any of these holds no candidate.
 HINT = r"[@0-9]|(?i:token|passw|secret|api.?key)"
 
@@ -95,11 +107,13 @@ def permute_digits(digits: Column, key: str, kind: str, undo: bool = False) -> C
 
 
 def permute_characters(text: Column, key: str, kind: str, undo: bool = False) -> Column:
-    """Letters and digits, each within its kind; a hexadecimal string stays hexadecimal."""
-    n = F.length(text)
-    half = F.floor(n / 2).cast("int")
-    letters = F.when(text.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), F.lit(6)).otherwise(F.lit(26))
-    start = F.struct(F.substr(text, F.lit(1), half).alias("x"), F.substr(text, half + 1).alias("y"))
+    """Letters and digits, each within its kind; a hexadecimal string stays hexadecimal.
+
+    Any other string is walked on until it isn't hexadecimal again, so that undoing takes the
+    same way (of single letters a quarter are, so 32 steps are never used up).
+    """
+    hexadecimal = lambda t: t.rlike("^[0-9a-f]+$|^[0-9A-F]+$")
+    letters = F.when(hexadecimal(text), F.lit(6)).otherwise(F.lit(26))
 
     def moved(part: Column, other: Column, i: Column) -> Column:
         def one(c: Column, k: Column) -> Column:
@@ -113,8 +127,14 @@ def permute_characters(text: Column, key: str, kind: str, undo: bool = False) ->
     forth = lambda s, i: F.struct(s["y"].alias("x"), moved(s["x"], s["y"], i).alias("y"))
     back = lambda s, i: F.struct(moved(s["y"], s["x"], i).alias("x"), s["x"].alias("y"))
     rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    out = F.aggregate(rounds, start, back if undo else forth)
-    return F.concat(out["x"], out["y"])
+
+    def all_rounds(t: Column) -> Column:
+        n = F.length(t)
+        half = F.floor(n / 2).cast("int")
+        out = F.aggregate(rounds, F.struct(F.substr(t, F.lit(1), half).alias("x"), F.substr(t, half + 1).alias("y")), back if undo else forth)
+        return F.concat(out["x"], out["y"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), all_rounds(text), lambda t, _: F.when(hexadecimal(t) & (letters == 26), all_rounds(t)).otherwise(t))
 
 
 def luhn_digit(payload: Column) -> Column:
@@ -135,8 +155,8 @@ def with_digits(shape: Column, digits: Column) -> Column:
 def _card(m: Column, key: str, undo: bool) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    new = permute_digits(payload, key, "card", undo)
-    valid = F.when(luhn_digit(payload) == F.right(digits, F.lit(1)), with_digits(m, F.concat(new, luhn_digit(new))))
+    new = F.concat(F.left(payload, F.lit(4)), permute_digits(F.substr(payload, F.lit(5)), key, "card", undo))
+    valid = F.when(digits.rlike(ISSUED) & (luhn_digit(payload) == F.right(digits, F.lit(1))), with_digits(m, F.concat(new, luhn_digit(new))))
     return valid.when(m.rlike(r"^0\d{0,5}[ -]"), _zero(m, key, undo)).otherwise(m)
 
 
@@ -157,11 +177,21 @@ def _plus(m: Column, key: str, undo: bool) -> Column:
     return with_digits(m, F.concat(head, permute_digits(F.substr(digits, F.length(head) + 1), key, "phone", undo)))
 
 
-def _number(m: Column, key: str, kind: str, undo: bool) -> Column:
-    """The last ten (or nine) digits; what stands before them, a country code, stays."""
+def _ten(m: Column, key: str, undo: bool) -> Column:
+    """The last ten digits of a telephone number; what stands before them, a country code, stays."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    keep = F.greatest(F.length(digits) - (9 if kind == "ssn" else 10), F.lit(0))
-    return with_digits(m, F.concat(F.substr(digits, F.lit(1), keep), permute_digits(F.substr(digits, keep + 1), key, kind, undo)))
+    keep = F.greatest(F.length(digits) - 10, F.lit(0))
+    return with_digits(m, F.concat(F.substr(digits, F.lit(1), keep), permute_digits(F.substr(digits, keep + 1), key, "phone", undo)))
+
+
+def _ssn(m: Column, key: str, undo: bool) -> Column:
+    """898 areas (001 to 899 without 666), 99 groups of 9,999 serials."""
+    area, group, serial = (F.substr(m, F.lit(a), F.lit(n)).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    out = permute_number(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(989_901), key, "ssn", undo)
+    wide = lambda n, size: F.lpad(n.cast("bigint").cast("string"), size, "0")
+    new = F.concat_ws("-", wide(out["x"] + F.when(out["x"] >= 665, 2).otherwise(1), 3), wide(F.floor(out["y"] / 9999) + 1, 2), wide(out["y"] % 9999 + 1, 4))
+    return F.when(valid, new).otherwise(m)
 
 
 def _ip(m: Column, key: str, undo: bool) -> Column:
@@ -179,9 +209,9 @@ def _date(m: Column, key: str, undo: bool) -> Column:
     start = F.lit("1800-01-01").cast("date")
 
     def moved(d: Column) -> Column:
-        n = F.datediff(d, start)
+        n = F.pmod(F.datediff(d, start), F.lit(146_097))
         out = permute_number(F.floor(n / 773), n % 773, F.lit(189), F.lit(773), key, "date", undo)
-        return F.date_add(start, (out["x"] * 773 + out["y"]).cast("int"))
+        return F.date_add(start, (F.datediff(d, start) - n + out["x"] * 773 + out["y"]).cast("int"))
 
     mark = F.substr(m, F.lit(3), F.lit(1))
     new = moved(day)
@@ -191,11 +221,11 @@ def _date(m: Column, key: str, undo: bool) -> Column:
     swapped = F.try_to_timestamp(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(1), F.lit(2)), F.substr(m, F.lit(4), F.lit(2))), F.lit("yyyy-MM-dd")).cast("date")
     other = F.aggregate(F.sequence(F.lit(1), F.lit(64)), moved(swapped), lambda d, _: F.when(F.dayofmonth(d) > 12, d).otherwise(moved(d)))
     turned = F.concat(F.date_format(other, "MM"), mark, F.date_format(other, "dd"), mark, F.date_format(other, "yyyy"))
-    in_range = lambda d: F.datediff(d, start).between(0, 146_096)
+    in_range = lambda d: F.datediff(d, start).between(-4 * 146_097, 20 * 146_097 - 1)
     return F.when(in_range(day), made).when(~iso & day.isNull() & in_range(swapped), turned).otherwise(m)
 
 
-def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
+def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
     """What a candidate becomes; itself where it isn't valid."""
     value = F.regexp_replace(m, f"^{SECRET_NAME}[\"']?", "")
     name = F.substring_index(m, "@", 1)
@@ -204,28 +234,32 @@ def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
         .when(F.contains(m, F.lit("@")), F.concat(permute_characters(name, key, "mail", undo), F.substr(m, F.length(name) + 1)))
         .when(m.rlike(f"^{DATE}$"), _date(m, key, undo))
         .when(m.rlike(f"^{IP}$"), _ip(m, key, undo))
-        .when(m.rlike(f"^(?:{PHONE})$"), _number(m, key, "phone", undo))
-        .when(m.rlike(f"^{SSN}$"), _number(m, key, "ssn", undo))
+        .when(m.rlike(f"^(?:{PHONE})$"), _ten(m, key, undo))
+        .when(m.rlike(f"^{SSN}$"), _ssn(m, key, undo))
         .when(m.rlike(f"^(?:{PLUS})$"), _plus(m, key, undo))
-        .when(m.rlike(f"^(?:{GROUPED})$"), _number(m, key, "phone", undo))
+        .when(m.rlike(f"^(?:{GROUPED})$"), _ten(m, key, undo))
         .when(m.rlike(f"^(?:{CARD})$"), _card(m, key, undo))
         .otherwise(_zero(m, key, undo))
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, undo: bool = False) -> DataFrame:
-    """``docs`` with ``text`` rewritten, and ``n_values``, the number of values replaced."""
+def pseudonymised(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
+    """``docs`` with ``text`` rewritten, and ``n_values`` (``n_values_`` if taken), the number of values replaced."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    old, new = fresh("found", docs.columns), fresh("new", docs.columns)
     may = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
-    found = docs.withColumn("_found", F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    named = found.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key, undo))).otherwise(F.array().cast("array<string>")))
+    found = docs.withColumn(old, F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    named = found.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key, undo))).otherwise(F.array().cast("array<string>")))
     gaps = F.split("text", ANY, -1)
-    woven = F.array_join(F.flatten(F.zip_with(gaps, F.concat("_new", F.array(F.lit(""))), lambda g, v: F.array(g, v))), "")
-    replaced = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    woven = F.array_join(F.flatten(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, v: F.array(g, v))), "")
+    replaced = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x))
     return named.select(
-        *[(F.when(F.size("_new") > 0, woven).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)) for c in docs.columns],
-        replaced.cast("int").alias("n_values"),
+        *[(F.when(F.size(new) > 0, woven).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c)) for c in docs.columns],
+        replaced.cast("int").alias(fresh("n_values", docs.columns)),
     )
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -35,6 +36,36 @@ def test_additive_model_learns_an_interaction():
     assert np.mean((model.score(fresh) > 0.5) == ((fresh[:, 3] > 0.5) ^ (fresh[:, 5] > 0.5))) > 0.9
 
 
+def test_scores_are_sums_of_looked_up_values():
+    """Against loops over bins, with ties at bin edges and repeated rows."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.random((600, len(quality.MEASURES))), 1).astype(np.float32)
+    x[300:] = x[:300]
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.7).astype(float)
+    model = quality.fit(x, y, rounds=10, pair_rounds=5)
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        total = model.start
+        for k, table_ in enumerate(model.tables):
+            total += table_[sum(e <= row[k] for e in model.edges[k])]
+        for (a, b), table_ in zip(model.pairs, model.pair_tables, strict=True):
+            total += table_[sum(e <= row[a] for e in model.pair_edges[a]), sum(e <= row[b] for e in model.pair_edges[b])]
+        assert abs(1 / (1 + math.exp(-total)) - score) < 1e-9
+    assert (model.score(x[:300]) == model.score(x[300:])).all()
+
+
+def test_trees_against_all_cuts():
+    """A tree of two leaves is the best cut of all, or one leaf where no cut gains."""
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        g, h = rng.normal(size=9), rng.random(9)
+        cut = max(range(1, 9), key=lambda c: g[:c].sum() ** 2 / (h[:c].sum() + 1) + g[c:].sum() ** 2 / (h[c:].sum() + 1))
+        if g[:cut].sum() ** 2 / (h[:cut].sum() + 1) + g[cut:].sum() ** 2 / (h[cut:].sum() + 1) <= g.sum() ** 2 / (h.sum() + 1) + 1e-9:
+            assert np.allclose(quality._tree(g, h, 2), g.sum() / (h.sum() + 1))
+            continue
+        want = np.concatenate([np.full(cut, g[:cut].sum() / (h[:cut].sum() + 1)), np.full(9 - cut, g[cut:].sum() / (h[cut:].sum() + 1))])
+        assert np.allclose(quality._tree(g, h, 2), want)
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, "a good text", 1.0), (2, None, 1.0), (3, "", 1.0), (None, "x " * 200_000, 1.0), (1, "a good text", 1.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, quality int")
@@ -57,11 +88,63 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"]]) > 0.97
 
 
+def fit(samples):
+    """A model of whole samples, without Spark."""
+    names = sorted(samples, key=lambda x: (-len(samples[x]), x))
+    codes, bits = [], []
+    for bit, name in enumerate(names):
+        c, n = np.unique(np.concatenate([langid.grams(langid.folded(t)) for t in samples[name]]), return_counts=True)
+        codes.append(c[(n >= langid.MIN_COUNT) & (c != 0x20202020)])
+        bits.append(np.full(len(codes[-1]), bit))
+    return langid.Model.of(names, *langid.set_slots(np.concatenate(codes), np.concatenate(bits)))
+
+
+def test_learned_on_the_executors(spark):
+    """Filters and decisions are those of plain counting; more languages than one mask holds."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(70):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéèñ", 9)
+        rows += [(1000 * k + j, "".join(rng.choice([*letters, " "]) for _ in range(300)), f"l{k:02}") for j in range(28 if k else 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.learn(df)
+    held = {r["doc_id"] for r in df.filter(held_out()).collect()}
+    samples = {}
+    for i, t, name in rows:
+        if i not in held:
+            samples.setdefault(name, []).append(t)
+    plain = fit(samples)
+    assert model.languages == plain.languages and len(model.words) == 2 and all((a == b).all() for a, b in zip(model.words, plain.words, strict=True))
+    # The decision, by sets: most n-grams of the language, then more documents, then the name.
+    sets = []
+    for name in plain.languages:
+        c, n = np.unique(np.concatenate([langid.grams(langid.folded(t)) for t in samples[name]]), return_counts=True)
+        sets.append(set(c[n >= langid.MIN_COUNT].tolist()) - {0x20202020})
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df.filter(held_out()), model).collect()}
+    same = 0
+    for i, t, _ in rows:
+        if i in held:
+            counts = [sum(c in s for c in langid.grams(langid.folded(t)).tolist()) for s in sets]
+            same += got[i] == plain.languages[int(np.argmax(counts))]
+    assert same / len(held) > 0.99
+    tie = langid.Model.of(["y", "x"], *langid.set_slots(np.concatenate([langid.grams(langid.folded("abc"))] * 2), np.repeat([0, 1], len(langid.grams(langid.folded("abc"))))))
+    assert tie.predict(["abc"])[0] == ["y"]
+
+
+def test_languages_of_long_or_few_documents(spark):
+    rows = [(i, "abc abd abe " * 3000, "long") for i in range(12)] + [(100 + i, "xyz xyw", "few") for i in range(3)] + [(200 + i, "xyz pqr " * 4000, "some") for i in range(4)] + [(300 + i, "pqr pqs", "some") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    assert model.predict(["abc abd", "xyz xyw", "pqs"])[0] == ["long", "few", "some"]
+    small = langid.learn(df, per_language=4)
+    assert small.languages == model.languages
+
+
 def test_counts_against_sets():
     """The bit-sliced filters find what plain sets find, up to their false positives."""
     rng = random.Random(2)
     samples = {"x": ["".join(rng.choice("abcd ") for _ in range(400)) for _ in range(5)], "y": ["".join(rng.choice("cdef ") for _ in range(400)) for _ in range(5)]}
-    model = langid.fit(samples)
+    model = fit(samples)
     sets = {}
     for name, texts in samples.items():
         codes, n = np.unique(np.concatenate([langid.grams(langid.folded(t)) for t in texts]), return_counts=True)
@@ -75,7 +158,7 @@ def test_counts_against_sets():
 
 
 def test_long_texts_are_read_in_pieces(monkeypatch):
-    model = langid.fit({"x": ["abc abd " * 50], "y": ["xyz xyw " * 50]})
+    model = fit({"x": ["abc abd " * 50], "y": ["xyz xyw " * 50]})
     texts = ["abc abd " * 300, "xyz " * 10, ""]
     whole = model.counts(texts)
     monkeypatch.setattr(langid, "BLOCK", 64)
@@ -86,17 +169,26 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
 def test_language_edge_cases(spark):
     rows = [(i, "der die das " * 5, "de", "x") for i in range(30)] + [(100 + i, "the and of " * 5, "en", "x") for i in range(30)] + [(300, None, "en", "x"), (301, "12 34 !!", None, "x"), (None, "the and", None, "x"), (302, "", "de", "x"), (303, "日本", None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
-    got = {r["doc_id"]: r for r in langid.identify(df, langid.fit(langid.training_sample(df))).collect()}
+    got = {r["doc_id"]: r for r in langid.identify(df, langid.learn(df)).collect()}
     assert len(got) == len(rows)
     assert {got[i]["lang_pred"] for i in (300, 301, 302)} == {"und"} and got[None]["lang_pred"] == "en" and got[5]["lang_pred"] == "de" and got[303]["lang_pred"] in ("de", "en")
     untaught = df.select("doc_id", "text").selectExpr("*", "CAST(NULL AS STRING) AS lang")
-    assert {r["lang_pred"] for r in langid.identify(untaught, langid.fit(langid.training_sample(untaught))).collect()} == {"und"}
-    assert langid.identify(df.limit(0), langid.fit({})).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(untaught, langid.learn(untaught)).collect()} == {"und"}
+    assert langid.identify(df.limit(0), langid.learn(df.limit(0))).count() == 0
 
 
 # --- decontamination ----------------------------------------------------------------------
 
 
+def test_short_items_and_repeated_letters(spark, monkeypatch):
+    benchmark = spark.createDataFrame([(1, "Yes!"), (2, "?!"), (3, "b" * 40 + "a" * 400), (4, None), (5, "yes")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "well, yes."), (2, "yesterday"), (3, "a" * 60_000), (4, "x " + "b" * 40 + "a" * 399 + " y"), (5, None), (6, "a" * 600_000 + "b" * 40 + "a" * 400)], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "HITS", 5000)
+    got = {(r["doc_id"], r["item_id"]): (r["edits"], r["start"], r["length"]) for r in decontaminate.contaminated(docs, benchmark, shared_dir(spark, "d")).collect()}
+    assert got.keys() == {(1, 1), (1, 5), (4, 3), (6, 3)} and got[(1, 1)] == (0, 5, 3) and got[(4, 3)][0] == 1 and got[(6, 3)] == (0, 600_000, 440)
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(docs, benchmark).collect()) == [2, 3, 5]
+
+
 def semi_global(pattern, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern):

@@ -1,4 +1,6 @@
+import datetime
 import hashlib
+import math
 import random
 import re
 from pathlib import Path
@@ -56,6 +58,15 @@ def test_one_row_stays_of_rows_from_no_file(spark):
         assert sum(r["kept"] for r in exact_dedup.exact_groups(several, shared_dir(spark, "e")).collect()) == len(kept)
 
 
+def test_columns_of_any_name(spark):
+    path = shared_dir(spark, "in")
+    spark.createDataFrame([(1, "a", "p", 1, 2, 3, 4), (2, "a", "p", 1, 2, 3, 4), (2, "b", None, 1, 2, 3, 4)], "doc_id long, text string, _path string, _row int, path int, row int, digest int").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert sorted((r["doc_id"], r["kept"]) for r in exact_dedup.exact_groups(df, shared_dir(spark, "e")).collect()) == [(1, True), (2, False), (2, True)]
+    kept = exact_dedup.drop_copies(df, shared_dir(spark, "e"))
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, "a"), (2, "b")]
+
+
 def test_state_goes_on(spark):
     """A second run on the same checkpoint takes up what is new and keeps the smallest id."""
     out, src = shared_dir(spark, "s"), shared_dir(spark, "src")
@@ -128,6 +139,7 @@ def luhn(digits):
     return total % 10 == 0
 
 
+KEY = "a key of the tests"
 TEXTS = [
     "card 4952935900253052, 4952-9359-0025-3052 not 9807915762804490 end", "mail und.34@mail7.example.com. token = \"b44e15e09fd311c3cf3163b66d5a9875b883d8ce\"###", "ip 97.51.17.173. no 999.1.1.1 v4.0. call +1 (017) 555-7713!",
     "born 1987-02-28 31.12.1999 28/02/2001 not 31/02/2001 2020-13-01 ssn 123-45-6789", "", None, "97.51.17.173", "password=5aaa9ac60bfe74b24b TOKEN = \"B44E15E09FD311C3CF3163B66D5A9875B883D8CE\"!!", "plain words 12 of 2 1,234.5",
@@ -136,7 +148,7 @@ TEXTS = [
 
 def test_pseudonyms(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, _other string")
-    out = pii.pseudonymised(df)
+    out = pii.pseudonymised(df, KEY)
     assert out.columns == ["doc_id", "text", "_other", "n_values"]
     rows = {r["doc_id"]: r for r in out.collect()}
     assert [rows[i]["n_values"] for i in range(9)] == [2, 2, 2, 4, 0, 0, 1, 2, 0]
@@ -148,10 +160,10 @@ def test_pseudonyms(spark):
     ip = re.search(r"ip ([\d.]+)\. no 999\.1\.1\.1 v4\.0\. call \+1 \(\d{3}\) \d{3}-\d{4}!", rows[2]["text"])[1]
     assert rows[6]["text"] == ip and all(0 <= int(x) <= 255 for x in ip.split("."))
     assert re.fullmatch(r"born \d{4}-\d\d-\d\d \d\d\.\d\d\.\d{4} \d\d/\d\d/\d{4} not 31/02/2001 2020-13-01 ssn \d{3}-\d\d-\d{4}", rows[3]["text"])
-    back = {r["doc_id"]: r["text"] for r in pii.pseudonymised(out.drop("n_values"), undo=True).collect()}
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymised(out.drop("n_values"), KEY, undo=True).collect()}
     assert back == dict(enumerate(TEXTS))
     assert pii.pseudonymised(df, key="other").filter("doc_id = 6").first()["text"] != ip
-    assert pii.pseudonymised(df.limit(0)).count() == 0
+    assert pii.pseudonymised(df.limit(0), KEY).count() == 0
 
 
 MISSED = {
@@ -160,25 +172,77 @@ MISSED = {
 }
 
 
+def test_what_is_no_personal_data_stays(spark):
+    texts = ["version 10.0.3.254, v1.2.3.4 Release: 1.22.33.44 build 7.7.7.7", "000-12-3456 666-12-3456 900-12-3456 123-00-6789 123-45-0000", "9807915762804499 1234567812345670", "31.02.1999 0000-00-00", "x" * 300_000]
+    df = spark.createDataFrame([(i, t, "a", "b", 7) for i, t in enumerate(texts)] * 2 + [(None, "010.1.2.3", "a", "b", 7)], "doc_id long, text string, found string, new string, n_values int")
+    out = pii.pseudonymised(df, KEY)
+    assert out.columns == [*df.columns, "n_values_"]
+    assert sorted(map(tuple, out.drop("n_values_").collect()), key=str) == sorted(map(tuple, df.collect()), key=str) and out.filter("n_values_ > 0").count() == 0
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymised(df, "")
+    old = pii.pseudonymised(spark.createDataFrame([(1, "1066-10-14, 2525-01-01 and 123-45-6789")], "doc_id long, text string"), KEY).first()
+    a, b, area, group, serial = re.match(r"(\d{4})-\d\d-\d\d, (\d{4})-\d\d-\d\d and (\d{3})-(\d\d)-(\d{4})$", old["text"]).groups()
+    assert old["n_values"] == 3 and 1000 <= int(a) < 1400 and 2200 <= int(b) < 2600 and area not in ("000", "666") and int(area) < 900 and int(group) and int(serial)
+
+
+def test_feistel_against_a_plain_one(spark):
+    """Numbers, dates and cards as a few lines of Python permute them."""
+
+    def word(kind, *parts):
+        return int(hashlib.sha256("|".join([KEY, kind, *map(str, parts)]).encode()).hexdigest()[:15], 16)
+
+    def number(x, y, mx, my, kind):
+        for i in range(pii.ROUNDS):
+            x, y, mx, my = y, (x + word(kind, i, mx, y) % mx) % mx, my, mx
+        return x, y
+
+    def digits(d, kind):
+        h = len(d) // 2
+        x, y = number(int(d[:h]), int(d[h:]), 10**h, 10 ** (len(d) - h), kind)
+        return f"{x:0{h}}{y:0{len(d) - h}}"
+
+    def check(payload):
+        return next(c for c in "0123456789" if luhn(payload + c))
+
+    def day(d):
+        n = (d - datetime.date(1800, 1, 1)).days
+        x, y = number(n // 773, n % 773, 189, 773, "date")
+        return datetime.date(1800, 1, 1) + datetime.timedelta(x * 773 + y)
+
+    rng = random.Random(9)
+    want = {}
+    for _ in range(40):
+        a, b, c, e = (rng.randrange(256) for _ in range(4))
+        x, y = number(a * 256 + b, c * 256 + e, 65536, 65536, "ip")
+        want[f"{a}.{b}.{c}.{e}"] = f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
+        d = datetime.date(1800, 1, 1) + datetime.timedelta(rng.randrange(146_097))
+        want[d.isoformat()] = day(d).isoformat()
+        p = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        n = p[:4] + digits(p[4:], "card")
+        want[p + check(p)] = n + check(n)
+    df = spark.createDataFrame([(t,) for t in want], "text string")
+    assert {r["text"]: r["new"] for r in df.select("text", pii.pseudonym(F.col("text"), KEY).alias("new")).collect()} == want
+
+
 def test_usual_shapes_are_found(spark):
     """Telephone numbers without parentheses, dates with the month first and secrets of other characters."""
     df = spark.createDataFrame(list(enumerate(MISSED)), "doc_id long, text string")
-    out = pii.pseudonymised(df)
+    out = pii.pseudonymised(df, KEY)
     rows = {r["doc_id"]: r for r in out.collect()}
     assert [rows[i]["n_values"] for i in range(len(MISSED))] == list(MISSED.values())
     for i, text in enumerate(MISSED):
         assert re.sub(r"\d", "0", re.sub("[A-Za-z]", "x", rows[i]["text"])) == re.sub(r"\d", "0", re.sub("[A-Za-z]", "x", text))
     assert rows[1]["text"].startswith("call +1 ") and ", +44 " in rows[1]["text"]
     assert all(int(m) <= 12 < int(d) for m, d in re.findall(r"(\d\d)/(\d\d)/\d{4}", rows[6]["text"]))
-    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(out.drop("n_values"), undo=True).collect()} == dict(enumerate(MISSED))
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(out.drop("n_values"), KEY, undo=True).collect()} == dict(enumerate(MISSED))
 
 
 def test_shapes_can_be_undone_whatever_their_digits(spark):
     rng = random.Random(8)
     shapes = ["000-000-0000", "1 000 000 0000", "+000000000000", "+00 000 0000 00", "000 0000 0000", "00000 000000", "0000 00 0000 0000", "(000) 0000 0000", "00/00/0000", "00.00.0000", "000-00-0000", "0000 000000 00000", "0000 0000 0000 0000", "00000 555-000-0000"]
     texts = [f"x {re.sub('0', lambda _: rng.choice('0012345678'), rng.choice(shapes))} y" for _ in range(1500)]
-    out = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(out.drop("n_values"), undo=True).collect()} == dict(enumerate(texts))
+    out = pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY)
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(out.drop("n_values"), KEY, undo=True).collect()} == dict(enumerate(texts))
 
 
 def test_permutation_is_one_to_one(spark):
@@ -205,6 +269,36 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0), shared_dir(spark, "l")).count() == 0
 
 
+def test_texts_of_one_path_and_odd_texts(spark):
+    rows = [(1, "a/x.py", "Licensed under the MIT License"), (1, "a/x.py", "nothing here"), (2, "a/y.py", "w " * 150_000 + "\nReleased under the MIT License.\n" + "license " * 50_000), (3, "c/z.py", "Licensed under the MIT License\nReleased under the MIT License"), (3, "c/z.py", "Licensed under the MIT License\nReleased under the MIT License")]
+    out = sorted((r["file"], r["licence"], r["origin"]) for r in licenses.scan(spark.createDataFrame(rows, "file long, path string, text string"), shared_dir(spark, "l")).fillna("").collect())
+    assert out == [(1, "MIT", "inherited"), (1, "MIT", "own"), (2, "MIT", "own"), (3, "MIT", "own"), (3, "MIT", "own")]
+
+
+def test_cosine_against_a_plain_one(spark):
+    rng = random.Random(5)
+    files = [f"{' '.join(rng.sample('license mit under the released licensed apache version of gnu general public copyright terms some'.split(), rng.randint(2, 9)))}" for _ in range(120)]
+    df = spark.createDataFrame([(k, f"d/{k}", t) for k, t in enumerate(files)], "file long, path string, text string")
+    known = licenses.templates(spark)
+    out_dir = shared_dir(spark, "l")
+    got = {r["file"]: (r["licence"], r["score"]) for r in licenses.scan(df, out_dir).filter("origin = 'own'").collect()}
+    terms = lambda t: [w for w in re.split(r"[^a-z0-9.]+", re.sub(r"\.(?![0-9])|(?<![0-9])\.", " ", t.lower())) if w]
+    df_of = lambda w: sum(w in terms(t) for t in files)
+    idf = lambda w: math.log((len(files) + 1) / (df_of(w) + 1)) + 1
+    vector = lambda ws: {w: (1 + math.log(ws.count(w))) * idf(w) for w in set(ws)}
+    cosine = lambda a, b: sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    folded = {}
+    for r in known.collect():
+        folded.setdefault((r["template"], r["licence"]), {})[r["term"]] = r["tf"] * idf(r["term"])
+    for k, t in enumerate(files):
+        best = min((-round(cosine(vector(terms(t)), v), 6), name) for (_, name), v in folded.items())
+        if re.search(licenses.ANCHOR, t) and -best[0] >= licenses.LEAST + 1e-6:
+            assert got[k][0] == best[1] and abs(got[k][1] + best[0]) < 2e-6
+        elif -best[0] < licenses.LEAST - 1e-6:
+            assert k not in got
+    assert len(got) > 10
+
+
 def test_licences_among_common_words(spark):
     """Words outside the templates have their own frequency; full texts and headers of several lines are found."""
     rng = random.Random(4)
