@@ -55,19 +55,14 @@ def subsets(size: int, orders: tuple[int, ...]) -> list[int]:
     return [sum(1 << k for k in c) for o in orders for c in combinations(range(size), o)]
 
 
-def holding(states_: DataFrame, size: int, most: int) -> DataFrame:
-    """One row: a map from each set of at most ``most`` factors to the number of cases that have them all.
-
-    The empty set has all cases. Sets that no case has are not in the map.
-    """
-    every = _masks([0, *subsets(size, tuple(range(1, most + 1)))])
-    held = states_.select("n", F.explode(F.filter(every, lambda u: u.bitwiseAND(F.col("mask")) == u)).alias("set"))
-    counts = held.groupBy("set").agg(F.sum("n").alias("n"))
-    return counts.agg(F.map_from_entries(F.collect_list(F.struct("set", "n"))).alias("cases"))
-
-
-def _masks(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in values])
+def _held(mask: Column, size: int, most: int) -> Column:
+    """The sets of at most ``most`` factors that a mask holds, as masks, the empty one first."""
+    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)), lambda b: b.bitwiseAND(mask) != 0)
+    out = last = F.array(F.lit(0).cast("bigint"))
+    for _ in range(most):
+        last = F.flatten(F.transform(last, lambda s: F.transform(F.filter(bits, lambda b: b > s), lambda b: b.bitwiseOR(s))))  # noqa: B023
+        out = F.concat(out, last)
+    return out
 
 
 def couplings(states_: DataFrame, taxonomy: Taxonomy, orders: tuple[int, ...], eps: float) -> DataFrame:
@@ -75,25 +70,28 @@ def couplings(states_: DataFrame, taxonomy: Taxonomy, orders: tuple[int, ...], e
 
     States with p, or a product of marginals, of at most ``eps`` add nothing.
     """
-    size = len(taxonomy.codes)
-    one = holding(states_, size, max(orders)).filter(F.size("cases") > 0)
-    spread = one.select("cases", F.explode(_masks(subsets(size, orders))).alias("subset"))
-    every = _masks([0, *subsets(size, tuple(range(1, max(orders) + 1)))])
-    spread = spread.withColumn("inside", F.filter(every, lambda u: u.bitwiseAND(F.col("subset")) == u))
-    cases = lambda u: F.coalesce(F.try_element_at("cases", u), F.lit(0).cast("bigint"))
+    size, most = len(taxonomy.codes), max(orders)
+    counts = states_.select("n", F.explode(_held(F.col("mask"), size, most)).alias("set")).groupBy("set").agg(F.sum("n").alias("n"))
+    every = F.split(F.lit(",".join(map(str, subsets(size, orders)))), ",").cast("array<bigint>")
+    inside = states_.sparkSession.range(1).select(F.explode(every).alias("subset")).select("subset", F.explode(_held(F.col("subset"), size, most)).alias("set"))
+    entry = F.struct("set", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    held = inside.join(counts, "set", "left").groupBy("subset").agg(F.map_from_entries(F.collect_list(entry)).alias("cases")).filter(F.col("cases")[F.lit(0).cast("bigint")] > 0)
+
+    cases = lambda u: F.col("cases")[u]
     total = cases(F.lit(0).cast("bigint")).cast("double")
-    bits = F.filter(_masks([1 << k for k in range(size)]), lambda b: b.bitwiseAND(F.col("subset")) != 0)
+    sets = F.array_sort(F.map_keys("cases"))
 
     def state(s: Column) -> Column:
         """Cases in exactly this state of the subset, and the product of its marginals."""
-        above = F.filter("inside", lambda u: u.bitwiseAND(s) == s)
+        above = F.filter(sets, lambda u: u.bitwiseAND(s) == s)
         n = F.aggregate(above, F.lit(0).cast("bigint"), lambda a, u: a + F.when(F.bit_count(u.bitwiseXOR(s)) % 2 == 0, cases(u)).otherwise(-cases(u)))
+        bits = F.filter(sets, lambda u: F.bit_count(u) == 1)
         q = F.aggregate(bits, F.lit(1.0), lambda a, b: a * (F.when(s.bitwiseAND(b) != 0, cases(b)).otherwise(total - cases(b)).cast("double") / total))
         return F.struct((n.cast("double") / total).alias("p"), q.alias("q"))
 
     term = lambda x: F.when((x["p"] > eps) & (x["q"] > eps), x["p"] * F.log2(x["p"] / x["q"])).otherwise(F.lit(0.0))
-    t = F.aggregate(F.transform("inside", state), F.lit(0.0), lambda a, x: a + term(x))
-    return spread.select(F.bit_count("subset").cast("int").alias("order"), "subset", bits_to_codes(F.col("subset"), taxonomy).alias("factors"), t.alias("t_value"))
+    t = F.aggregate(F.transform(sets, state), F.lit(0.0), lambda a, x: a + term(x))
+    return held.select(F.bit_count("subset").cast("int").alias("order"), "subset", bits_to_codes(F.col("subset"), taxonomy).alias("factors"), t.alias("t_value"))
 
 
 def main_couplings(states_: DataFrame, taxonomy: Taxonomy) -> DataFrame:
