@@ -18,9 +18,9 @@ import unicodedata
 
 import numpy as np
 
-#: Words one worker remembers, in two generations; about 30 MB. When the younger is full the
+#: Words one worker remembers, in two generations; about 50 MB. When the younger is full the
 #: older is forgotten, but words met again have moved to the younger before.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 300_000
 #: Words handed to the library in one call.
 _JOINED = 512
 _ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u0130\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
