@@ -10,7 +10,8 @@ overlap by half, bands that reach the bound are kept and verified by a banded al
 The benchmark is taken in blocks of at most ``BLOCK_CHARS`` characters, each of which is
 sent to the executors and held against all documents, so documents are read once for each
 block, never shuffled, and long ones are taken in overlapping pieces. Shared q-grams are
-expanded ``HITS`` at a time, however often a text repeats one.
+expanded ``HITS`` at a time, however often a text repeats one, and marked in a table of a piece's
+bands and the item's places, about ten bytes for each byte of the piece.
 
 Cases: null or empty texts match nothing; items of fewer than ``Q`` bytes after folding share no
 q-gram and are found where they stand as whole words without an edit; items that fold to
@@ -35,7 +36,7 @@ Q = 8
 ERROR_RATE = 0.1
 BLOCK_CHARS = 2_000_000
 PIECE = 1 << 19
-HITS = 1 << 20
+HITS, RUN = 1 << 20, 1024
 _FILTER_BITS = 22
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _GAPS = re.compile(r"[\W_]+")
@@ -113,6 +114,7 @@ class Index:
     widest: int
     overlap: int
     short: list[tuple]
+    per_item: list[tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Index:
@@ -125,46 +127,49 @@ class Index:
         owner = np.repeat(np.arange(len(items)), [len(p) for p in per]).astype(np.int64)
         place = np.concatenate([np.arange(len(p)) for p in per]) if per else np.empty(0, np.int64)
         order = np.argsort(grams, kind="stable")
+        sorts = [np.argsort(p, kind="stable") for p in per]
         seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
         seen[_slot(grams)] = True
         sizes = np.array([len(f) for f in items], dtype=np.int64)
         edits = np.array([budget(len(f)) for f in items], dtype=np.int64)
         widest = int(sizes.max(initial=0))
-        return cls([i for i, _ in [*rows, *short]], items, grams[order], owner[order], place[order], seen, edits, sizes + 1 - Q - Q * edits, widest, 2 * (widest + 3 * budget(widest) + 3), short)
+        return cls([i for i, _ in [*rows, *short]], items, grams[order], owner[order], place[order], seen, edits, sizes + 1 - Q - Q * edits, widest, 2 * (widest + 3 * budget(widest) + 3), short, [(p[o], o) for p, o in zip(per, sorts, strict=True)])
 
-    def shared(self, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(item and band as one key, place in the item) of all shared q-grams, about ``HITS`` at a time; each is in two bands."""
-        at = np.flatnonzero(self.seen[_slot(c)])
-        first = np.searchsorted(self.grams, c[at])
-        n = np.searchsorted(self.grams, c[at], side="right") - first
-        at, first, n = at[n > 0], first[n > 0], n[n > 0]
-        cuts = np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1
-        for at_, first_, n_ in zip(np.split(at, cuts), np.split(first, cuts), np.split(n, cuts), strict=True):
-            if not len(at_):
-                continue
-            k = np.repeat(first_ - np.concatenate([[0], np.cumsum(n_)[:-1]]), n_) + np.arange(n_.sum())
-            owner, place = self.owner[k], self.place[k]
-            key = (owner << 32) | ((np.repeat(at_, n_) - place + self.widest) // (self.edits[owner] + 1))
-            yield np.concatenate([key, key - 1]), np.concatenate([place, place])
-
-    def candidates(self, data: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, band) whose shared q-grams reach the bound."""
+    def candidates(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first band, last band) of neighbouring bands whose shared q-grams reach the bound.
+
+        A q-gram of the item counts once in a band; at most ``RUN`` bands are given together.
+        """
         c = codes(data)
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for key, _ in self.shared(c):
-            keys, where = np.unique(np.concatenate([keys, key]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, np.ones(len(key), np.int64)]), len(keys)).astype(np.int64)
-        full = keys[counts >= self.bound[keys >> 32]]
-        if not len(full):
+        at = np.flatnonzero(self.seen[_slot(c)])
+        if not len(at):
+            return
+        some = np.unique(c[at])
+        first = np.searchsorted(self.grams, some)
+        n = np.searchsorted(self.grams, some, side="right") - first
+        first, n = first[n > 0], n[n > 0]
+        if not len(n):
             return
-        # A q-gram of the item counts once, however often the band repeats it.
-        once = np.empty((2, 0), np.int64)
-        for key, place in self.shared(c):
-            mine = np.isin(key, full)
-            once = np.unique(np.concatenate([once, np.stack([key[mine], place[mine]])], axis=1), axis=1)
-        keys, counts = np.unique(once[0], return_counts=True)
-        for x in keys[counts >= self.bound[keys >> 32]].tolist():
-            yield x >> 32, x & ((1 << 32) - 1)
+        k = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        items, counts = np.unique(self.owner[k], return_counts=True)
+        for j in items[counts >= self.bound[items]].tolist():
+            own, place, e = *self.per_item[j], int(self.edits[j])
+            first = np.searchsorted(own, c[at])
+            n = np.searchsorted(own, c[at], side="right") - first
+            here, first, n = at[n > 0], first[n > 0], n[n > 0]
+            low = (int(here[0]) - int(place.max()) + self.widest) // (e + 1) - 1
+            high = (int(here[-1]) - int(place.min()) + self.widest) // (e + 1)
+            met = np.zeros((high - low + 1, int(place.max()) + 1), dtype=bool)
+            cuts = np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1
+            for here_, first_, n_ in zip(np.split(here, cuts), np.split(first, cuts), np.split(n, cuts), strict=True):
+                mine = place[np.repeat(first_ - np.concatenate([[0], np.cumsum(n_)[:-1]]), n_) + np.arange(n_.sum())]
+                band = (np.repeat(here_, n_) - mine + self.widest) // (e + 1) - low
+                met[band, mine] = True
+                met[band - 1, mine] = True
+            full = np.flatnonzero(met.sum(1) >= self.bound[j])
+            for run in np.split(full, np.flatnonzero((np.diff(full) > 1) | (np.diff(full // RUN) > 0)) + 1):
+                if len(run):
+                    yield j, int(run[0]) + low, int(run[-1]) + low
 
     def matches(self, text: str | None) -> dict[int, tuple[int, int, int]]:
         """Of a text, the best match of each item: (edits, start, length) in the folded text."""
@@ -182,12 +187,12 @@ class Index:
         at = 0
         while True:
             part = whole[at : at + PIECE + overlap]
-            for j, band in self.candidates(np.frombuffer(part, dtype=np.uint8)):
+            for j, band, last in self.candidates(np.frombuffer(part, dtype=np.uint8)):
                 item, e = self.items[j], int(self.edits[j])
                 if found.get(j, (1,))[0] == 0:
                     continue
                 low = band * (e + 1) - widest
-                high = low + 2 * (e + 1) - 1
+                high = (last - band + 2) * (e + 1) + low - 1
                 a = max(0, low - e)
                 exact = part.find(item, a, high + e + len(item) + 1)
                 hit = (0, exact, exact + len(item)) if exact >= 0 else banded_distance(item, part, low, high, e)
