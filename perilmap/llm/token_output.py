@@ -2,8 +2,10 @@
 
 Documents are put in ascending ``doc_id`` order by a range partitioning, each partition
 is encoded as a stream and written as one *shard*: an Arrow IPC file whose batches hold
-``ids: fixed_size_list<uint>[L]`` and ``mask: fixed_size_list<uint8>[L]`` (a byte each, as Arrow
-packs Booleans into bits, which no array can view). All batches but
+``ids: fixed_size_list<uint>[L]`` and ``mask: dictionary of fixed_size_list<uint8>[L]`` (a byte
+each, as Arrow packs Booleans into bits, which no array can view). A mask is ones, then zeros,
+so a shard's dictionary holds the L + 1 masks there are, and a sequence the number of its ones:
+four bytes in place of L. All batches but
 the last hold the same number of sequences, so sequence ``i`` is row ``i % B`` of batch
 ``i // B`` and can be mapped without a copy. Only a shard's last sequence is padded (mask
 0). Beside it lies an index file (doc_id, start, n_tokens). A manifest in Parquet
@@ -50,7 +52,8 @@ class ShardWriter:
         self.fs, self.path = filesystem(uri)
         self.dtype, self.sequence, self.batch = dtype, sequence, batch
         value = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(value, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
+        self.schema = pa.schema([("ids", pa.list_(value, sequence)), ("mask", pa.dictionary(pa.int32(), pa.list_(pa.uint8(), sequence)))])
+        self.masks = pa.FixedSizeListArray.from_arrays(pa.array(np.tri(sequence + 1, sequence, -1, dtype=np.uint8).ravel()), sequence)
         self.sink = self.fs.open_output_stream(self.path)
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.held, self.held_bytes = [], 0
@@ -81,8 +84,8 @@ class ShardWriter:
         self.held, self.held_bytes = [rest.tobytes()], rest.nbytes
 
     def _write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).view(np.uint8)
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
+        ones = np.clip(real - np.arange(0, len(ids), self.sequence), 0, self.sequence).astype(np.int32)
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.sequence), pa.DictionaryArray.from_arrays(pa.array(ones), self.masks)]
         self.file.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
@@ -114,15 +117,15 @@ class Shard:
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, mask) of sequence ``i``; neither is copied, on a local path both are views of the mapped file."""
         batch = self.file.get_batch(i // self.rows)
-        ids, mask = (batch.column(k)[i % self.rows].values for k in (0, 1))
+        ids, masks = batch.column(0)[i % self.rows].values, batch.column(1)
+        mask = masks.dictionary[masks.indices[i % self.rows].as_py()].values
         return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=True)
 
     def batches(self) -> Iterator[np.ndarray]:
         """The ids of each batch in one flat array, padding left out."""
         for k in range(self.file.num_record_batches):
             batch = self.file.get_batch(k)
-            ids, mask = (batch.column(c).flatten() for c in (0, 1))
-            yield ids.to_numpy(zero_copy_only=True)[: np.count_nonzero(mask.to_numpy(zero_copy_only=True))]
+            yield batch.column(0).flatten().to_numpy(zero_copy_only=True)[: batch.column(1).indices.to_numpy().sum()]
 
     def documents(self) -> Iterator[tuple]:
         """(doc_id, start, ids in one or more arrays) in order, holding a batch at a time."""
