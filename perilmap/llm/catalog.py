@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup
+from . import chat, exact_dedup, fim, resampling, warc
 from .decontaminate import op7_decontamination
 from .langid import op9_language_id
 from .licenses import op3_license_scan
@@ -23,9 +23,15 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_warc": warc.op12_warc,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_resampling": resampling.ORACLE,
+    "op12_warc": warc.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }
