@@ -41,7 +41,6 @@ BLOCK = 1 << 19
 UNKNOWN = "und"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that are no ASCII letter and no part of a longer character become spaces.
 _KEEP = np.array([b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)], dtype=np.uint8)
 
@@ -107,7 +106,7 @@ class Model:
         return total, np.clip((found - total[:, None] * self.false_rate) / (1 - self.false_rate), 0, None)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        known = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if known:
             _, found = self.counts([texts[i] for i in known])

@@ -44,7 +44,8 @@ from .common import fresh, table
 KEY_SETTING = "spark.perilmap.pseudonymKey"
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# Java's matcher recurses for each repeat of a group, so a domain has as many labels as its 253 characters can hold.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]{1,63}+){1,126}+"
 SECRET_NAME = r"(?i:\b(?:access[_-]?token|token|password|passwd|secret|api[_-]?key)\s{0,3}[=:]\s{0,3})"
 SECRET = SECRET_NAME + r"""(?:"[^"\n]{1,200}(?=")|'[^'\n]{1,200}(?=')|["']?[^\s"']{3,}[A-Za-z0-9])"""
 IP = rf"(?<![\d.])(?<!(?i:\bv|\bver|\bversion|\brelease|\bbuild)[ .:]{{0,2}}){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
@@ -113,28 +114,34 @@ def permute_characters(text: Column, key: str, kind: str, undo: bool = False) ->
     same way (of single letters a quarter are, so 32 steps are never used up).
     """
     hexadecimal = lambda t: t.rlike("^[0-9a-f]+$|^[0-9A-F]+$")
-    letters = F.when(hexadecimal(text), F.lit(6)).otherwise(F.lit(26))
+    # What all characters share is a variable of a function: made once, not once for each.
+    given = F.array(F.struct(text.alias("text"), F.when(hexadecimal(text), F.lit(6)).otherwise(F.lit(26)).alias("letters")))
 
-    def moved(part: Column, other: Column, i: Column) -> Column:
-        def one(c: Column, k: Column) -> Column:
-            base = F.when(c.rlike("^[0-9]$"), F.lit(48)).when(c.rlike("^[a-z]$"), F.lit(97)).when(c.rlike("^[A-Z]$"), F.lit(65))
-            size = F.when(c.rlike("^[0-9]$"), F.lit(10)).otherwise(letters)
-            step = F.pmod(_word(key, kind, i, k, other), size)
-            return F.when(base.isNull(), c).otherwise(F.char((F.pmod(F.ascii(c) - base + (-step if undo else step), size) + base).cast("bigint")))
+    def walked(v: Column) -> Column:
+        letters = v["letters"]
 
-        return F.array_join(F.transform(F.split(part, ""), one), "")
+        def moved(part: Column, other: Column, i: Column) -> Column:
+            def one(c: Column, k: Column, digest: Column) -> Column:
+                base = F.when(c.rlike("^[0-9]$"), F.lit(48)).when(c.rlike("^[a-z]$"), F.lit(97)).when(c.rlike("^[A-Z]$"), F.lit(65))
+                size = F.when(c.rlike("^[0-9]$"), F.lit(10)).otherwise(letters)
+                step = F.pmod(_word(key, kind, i, k, digest), size)
+                return F.when(base.isNull(), c).otherwise(F.char((F.pmod(F.ascii(c) - base + (-step if undo else step), size) + base).cast("bigint")))
 
-    forth = lambda s, i: F.struct(s["y"].alias("x"), moved(s["x"], s["y"], i).alias("y"))
-    back = lambda s, i: F.struct(moved(s["y"], s["x"], i).alias("x"), s["x"].alias("y"))
-    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+            digests = F.array(F.sha2(other.cast("binary"), 256))
+            return F.transform(digests, lambda h: F.array_join(F.transform(F.split(part, ""), lambda c, k: one(c, k, h)), ""))[0]
+
+        forth = lambda s, i: F.struct(s["y"].alias("x"), moved(s["x"], s["y"], i).alias("y"))
+        back = lambda s, i: F.struct(moved(s["y"], s["x"], i).alias("x"), s["x"].alias("y"))
+        rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if undo else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+
+        def all_rounds(t: Column) -> Column:
+            half = F.floor(F.length(t) / 2).cast("int")
+            out = F.aggregate(rounds, F.struct(F.substr(t, F.lit(1), half).alias("x"), F.substr(t, half + 1).alias("y")), back if undo else forth)
+            return F.transform(F.array(out), lambda o: F.concat(o["x"], o["y"]))[0]
 
-    def all_rounds(t: Column) -> Column:
-        n = F.length(t)
-        half = F.floor(n / 2).cast("int")
-        out = F.aggregate(rounds, F.struct(F.substr(t, F.lit(1), half).alias("x"), F.substr(t, half + 1).alias("y")), back if undo else forth)
-        return F.concat(out["x"], out["y"])
+        return F.aggregate(F.sequence(F.lit(1), F.lit(32)), all_rounds(v["text"]), lambda t, _: F.when((letters == 26) & hexadecimal(t), all_rounds(t)).otherwise(t))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), all_rounds(text), lambda t, _: F.when(hexadecimal(t) & (letters == 26), all_rounds(t)).otherwise(t))
+    return F.transform(given, walked)[0]
 
 
 def luhn_digit(payload: Column) -> Column:

@@ -168,10 +168,11 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
 
 def test_language_edge_cases(spark):
     rows = [(i, "der die das " * 5, "de", "x") for i in range(30)] + [(100 + i, "the and of " * 5, "en", "x") for i in range(30)] + [(300, None, "en", "x"), (301, "12 34 !!", None, "x"), (None, "the and", None, "x"), (302, "", "de", "x"), (303, "日本", None, "x")]
+    rows += [(400 + i, t, None, "x") for i, t in enumerate(("½ 12", "² ③", "Ⅷ 8", "①", "٣ _"))]  # numerals are no letters
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     got = {r["doc_id"]: r for r in langid.identify(df, langid.learn(df)).collect()}
     assert len(got) == len(rows)
-    assert {got[i]["lang_pred"] for i in (300, 301, 302)} == {"und"} and got[None]["lang_pred"] == "en" and got[5]["lang_pred"] == "de" and got[303]["lang_pred"] in ("de", "en")
+    assert {got[i]["lang_pred"] for i in (300, 301, 302, *range(400, 405))} == {"und"} and got[None]["lang_pred"] == "en" and got[5]["lang_pred"] == "de" and got[303]["lang_pred"] in ("de", "en")
     untaught = df.select("doc_id", "text").selectExpr("*", "CAST(NULL AS STRING) AS lang")
     assert {r["lang_pred"] for r in langid.identify(untaught, langid.learn(untaught)).collect()} == {"und"}
     assert langid.identify(df.limit(0), langid.learn(df.limit(0))).count() == 0
