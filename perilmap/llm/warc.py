@@ -57,11 +57,19 @@ CASE WHEN strlen(p.h) >= {LEAST} AND page_id <> top THEN top END AS refers_to FR
 
 
 class Archive(NamedTuple):
-    """The tables of an archive and the smallest size of a payload that is stored once for several records."""
+    """The tables of an archive and the smallest size of a payload that is stored once for several records.
+
+    ``payloads`` is bucketed by address, so a join by address shuffles heads alone.
+    """
 
     headers: DataFrame
     payloads: DataFrame
     least: int
+    table: str | None = None
+
+    def forget(self) -> None:
+        """Take the payloads' name out of the catalog; their files stay."""
+        self.headers.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def join_hot(rows: DataFrame, side: DataFrame, key: str, most: int) -> DataFrame:
@@ -118,8 +126,10 @@ def store(pages: DataFrame, out_dir: str, payload: str = "html", least: int = LE
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), safe_url(F.col("url")).alias("url"), bytes_of.alias("payload"))
     narrow = rows.select("page_id", "url", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("address"))
     records = written(narrow.withColumn("row", F.monotonically_increasing_id()), f"{out_dir}/records")
-    stored = rows.select("payload", F.sha2("payload", 256).alias("address")).groupBy("address").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("copies"))
-    payloads = written(stored, f"{out_dir}/payloads")
+    stored = rows.select("payload", F.sha2("payload", 256).alias("address")).groupBy("address").agg(F.first("payload").alias("payload"), F.count(F.lit(1)).alias("copies")).withColumn("size", F.octet_length("payload"))
+    spark, name = pages.sparkSession, f"warc_payloads_{uuid.uuid4().hex}"
+    stored.write.option("path", f"{out_dir}/payloads").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "address").sortBy("address").saveAsTable(name)
+    payloads = spark.table(name)
 
     firsts = records.groupBy("address").agg(F.max(F.struct("page_id", "row")).alias("top"), F.count(F.lit(1)).alias("copies"), F.min("sha1").alias("lo"), F.max("sha1").alias("hi"), F.min("n").alias("short"), F.max("n").alias("long"))
     same = (F.col("lo") == F.col("hi")) & (F.col("short") == F.col("long"))
@@ -131,7 +141,7 @@ def store(pages: DataFrame, out_dir: str, payload: str = "html", least: int = LE
     revisit = (F.col("n") >= least) & (F.col("row") != F.col("top_row"))
     named = decided.withColumn("record_id", record_uuid(F.col("address"), F.col("page_id"), F.col("row"))).withColumn("refers_to_id", F.when(revisit, F.col("top_id")))
     heads = named.select("record_id", "page_id", "refers_to_id", "address", "n", warc_head(F.col("refers_to_id").isNotNull(), date).alias("head"))
-    return Archive(written(heads, f"{out_dir}/headers"), payloads, least)
+    return Archive(written(heads, f"{out_dir}/headers"), payloads, least, name)
 
 
 def checked(payloads: DataFrame) -> DataFrame:
@@ -142,11 +152,11 @@ def checked(payloads: DataFrame) -> DataFrame:
 
 def records(archive: Archive) -> DataFrame:
     """(record_id, head, payload) as archived: joined from headers and payloads, empty payloads for revisits."""
-    heads, kept = archive.headers, checked(archive.payloads)
+    heads, kept = archive.headers, archive.payloads
     revisits = heads.filter("refers_to_id IS NOT NULL").select("record_id", "head", F.lit(b"").alias("payload"))
     # A large payload has one response; small ones may have any number, and are small.
-    large = heads.filter("refers_to_id IS NULL").filter(F.col("n") >= archive.least).join(kept, "address")
-    small = join_hot(heads.filter(F.col("n") < archive.least), kept.filter(F.octet_length("payload") < archive.least), "address", heads.count() // HOT_SHARE)
+    large = heads.filter("refers_to_id IS NULL").filter(F.col("n") >= archive.least).join(checked(kept.filter(F.col("size") >= archive.least)), "address")
+    small = join_hot(heads.filter(F.col("n") < archive.least), checked(kept.filter(F.col("size") < archive.least)), "address", heads.count() // HOT_SHARE)
     return revisits.unionByName(large.select("record_id", "head", "payload")).unionByName(small.select("record_id", "head", "payload"))
 
 
@@ -259,6 +269,8 @@ def resolved(read: DataFrame) -> DataFrame:
 
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_dir(spark, "warc")
-    index = export(store(table(spark, sf_dir, "pages"), out), f"{out}/files")
+    archive = store(table(spark, sf_dir, "pages"), out)
+    index = export(archive, f"{out}/files")
+    archive.forget()
     files = index.select("file").distinct()
     return resolved(written(read_records(files.repartition(max(1, files.count()))), f"{out}/read"))
