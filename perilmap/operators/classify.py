@@ -1,4 +1,6 @@
-"""Classification of texts into factors: pluggable, with keyword rules as the offline default.
+"""Classification of texts into factors: pluggable, with rules as the offline default.
+
+The rules of the two levels are phrases (``phrases.py``); ``keyword_codes`` is for word parts.
 
 A classifier is a function of a pandas Series of texts that returns a Series of JSON answers.
 Calls to a model server run on the executors, in Arrow batches, with retries and a pause; a
@@ -13,43 +15,13 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_label, ordered_distinct, parse_labels, parse_sub_factors, render
 
 Classifier = Callable[[pd.Series], pd.Series]
 
-# Words that point to a main category.
-MAIN_KEYWORDS = {
-    "HU": ("lack of responsibility", "insufficient skill", "uncertified", "illegal operation", "new employee", "poor training"),
-    "EQ": ("damaged equipment", "abnormal function", "poor maintenance", "broken cables", "faulty indicators", "missing parts"),
-    "MA": ("wrong material", "unqualified raw materials", "rusty wire", "damp electrodes", "impurities", "wrong wire type"),
-    "TE": ("violated process requirements", "blueprint deviation", "design defect", "improper groove", "wrong welding sequence", "no preheating"),
-    "EN": ("rain", "snow", "high humidity", "low temperature", "strong wind", "narrow space", "high construction difficulty"),
-    "MG": ("no inspection", "lack of supervision", "poor duty performance", "failed briefing", "insufficient manpower", "skipped procedures"),
-}
-# Words that point to a sub-factor. Plurals and endings are left off where the
-# shorter form stands in all of them; two wordings of one sign are both listed.
-SUB_KEYWORDS = {
-    "H1": ("insufficient skill", "poor training", "new employee", "read blueprints", "uncertified"),
-    "H2": ("lack of responsibility", "lacked responsibility", "weak quality awareness", "careless", "blind construction"),
-    "H3": ("illegal operation", "violat", "not following", "did not strictly follow", "improper handling", "wrong welding sequence"),
-    "EQ1": ("abnormal equipment", "damaged function", "missing parts", "poor maintenance", "broken cable", "damaged cable"),
-    "EQ2": ("improper tool use", "improper use of tools", "unqualified tool", "insufficient protection", "welder failure"),
-    "EQ3": ("abnormal voltage", "abnormal current", "excessive speed", "excessive travel speed", "insufficient heating"),
-    "MA1": ("unqualified material", "not meeting requirements", "excess hardness", "hardness exceeding", "unauthorized substitution"),
-    "MA2": ("rusty wire", "rusty welding wire", "damp electrode", "wrong wire", "wrong type of welding wire"),
-    "MA3": ("improper temporary storage", "oven temperature", "damp consumables", "rusty consumables", "damp/rusty consumables"),
-    "TE1": ("design defect", "incomplete process", "groove issue", "lack of targeted process", "lack of specific process"),
-    "TE2": ("improper parameters", "wrong method", "chaotic sequence", "insufficient pretreatment", "fast welding", "welding too fast"),
-    "TE3": ("unclear standard", "mismatched spec", "specification mismatch", "insufficient weld leg", "excessive gap"),
-    "EN1": ("rain", "snow", "low temperature", "high humidity", "monsoon"),
-    "EN2": ("narrow space", "high difficulty", "poor conditions", "strong wind", "poor lighting", "insufficient light"),
-    "MG1": ("inadequate inspection", "missing mutual checks", "lack of oversight", "failure to detect", "failed to conduct", "failed to inspect"),
-    "MG2": ("imperfect system", "failure to implement", "non-standard workflow", "poor dispatching"),
-    "MG3": ("insufficient training", "unclear briefing", "not communicated", "pre-job training"),
-}
 MAIN_PROMPT = """Sort the causes that the text names into these categories: {categories}.
 Answer with one JSON object from category to a list of causes, and nothing else.
 
@@ -60,11 +32,6 @@ Answer with a JSON object that lists them under "secondary_factors"; "Unclassifi
 Factor: {text}"""
 
 
-def keyword_rules(spark: SparkSession, rules: dict) -> DataFrame:
-    """(code, keyword): a fixed table."""
-    return spark.createDataFrame([(c, k) for c, ks in rules.items() for k in ks], "code string, keyword string")
-
-
 def keyword_codes(text, rules: dict) -> F.Column:
     """The codes whose keywords a text contains (in lower case), in the order of the rules."""
 

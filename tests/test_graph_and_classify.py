@@ -31,12 +31,9 @@ def test_explode_triplets(spark):
 def test_keywords(spark):
     from pyspark.sql import functions as F
 
-    df = spark.createDataFrame([("The workers lacked responsibility; Rusty WIRE in the rain",), (None,), ("",)], "t string")
-    got = [r[0] for r in df.select(classify.keyword_codes(F.col("t"), classify.SUB_KEYWORDS)).collect()]
-    assert got == [["H2", "MA2", "EN1"], [], []]
-    assert classify.keyword_rules(spark, classify.MAIN_KEYWORDS).count() == 37
-    more = spark.createDataFrame([("Unable to READ blueprints, wrong welding sequence; missing mutual checks at high difficulty",)], "t string")
-    assert more.select(classify.keyword_codes(F.col("t"), classify.SUB_KEYWORDS)).first()[0] == ["H1", "H3", "EN2", "MG1"]
+    df = spark.createDataFrame([("The PERSON in the rain",), (None,), ("",)], "t string")
+    got = [r[0] for r in df.select(classify.keyword_codes(F.col("t"), {"B": ("rain", "sun"), "A": ("person",), "C": ("x",)})).collect()]
+    assert got == [["B", "A"], [], []]
 
 
 def test_pluggable_classifier(spark):
