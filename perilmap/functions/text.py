@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HASHES = "##########"
 #: White space of every kind, with full-width spaces.
 SPACE = r"(?U)\s+"
+#: White space at either end. A run inside is passed once: only its first place may match, and nothing is given back.
+ENDS = r"(?U)^\s++|(?<!\s)\s++$"
 
 
 def normalize_space(text: Column) -> Column:
@@ -18,6 +20,11 @@ def normalize_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, ENDS, "")
+
+
 def split_cases(docs: DataFrame, delimiter: str = "Case", numbered: bool = True) -> DataFrame:
     """(doc_id, seg_no, segment): the text between delimiters, blank segments left out.
 
@@ -25,7 +32,7 @@ def split_cases(docs: DataFrame, delimiter: str = "Case", numbered: bool = True)
     back before them; the delimiter counts wherever it stands, even inside a sentence.
     """
     parts = docs.select("doc_id", F.posexplode(F.split("text", _quoted(delimiter), -1)).alias("seg_no", "segment"))
-    parts = parts.withColumn("segment", F.regexp_replace("segment", r"(?U)^\s+|\s+$", "")).filter("segment <> ''")
+    parts = parts.withColumn("segment", strip(F.col("segment"))).filter("segment <> ''")
     if numbered:
         parts = parts.filter(F.col("segment").rlike("^[0-9]")).withColumn("segment", F.concat(F.lit(delimiter), "segment"))
     return parts
@@ -33,8 +40,8 @@ def split_cases(docs: DataFrame, delimiter: str = "Case", numbered: bool = True)
 
 def split_hashes(docs: DataFrame) -> DataFrame:
     """(doc_id, seg_no, segment): the text between lines of ten hashes, empty segments left out."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", r"\s*#{10}\s*", -1)).alias("seg_no", "segment"))
-    return parts.withColumn("segment", F.regexp_replace("segment", r"(?U)^\s+|\s+$", "")).filter("segment <> ''")
+    parts = docs.select("doc_id", F.posexplode(F.split("text", r"(?:\G|(?<!\s))\s*+#{10}\s*+", -1)).alias("seg_no", "segment"))
+    return parts.withColumn("segment", strip(F.col("segment"))).filter("segment <> ''")
 
 
 def _quoted(text: str) -> str:
@@ -63,7 +70,8 @@ ROMAN = Profile("I. Occurrence Time", "II. Occurrence Stage", "III. Problem Phen
 def section(text: Column, label: str, until: str | None) -> Column:
     """The text after a label (half- or full-width colon) up to the next; '' where there is none."""
     stop = f"(?={_quoted(until)})" if until else r"\z"
-    return F.regexp_extract(text, rf"(?s){_quoted(label)}[\s:：]+(.*?){stop}", 1)
+    found = F.regexp_extract(text, rf"(?s){_quoted(label)}[\s:：]++(.*?){stop}", 1)
+    return F.when(F.contains(text, F.lit(until)), found).otherwise("") if until else found
 
 
 def extract_sections(segments: DataFrame, profile: Profile = ARABIC, column: str = "segment") -> DataFrame:
@@ -84,7 +92,7 @@ def extract_sections(segments: DataFrame, profile: Profile = ARABIC, column: str
 
 def strip_code_fence(text: Column) -> Column:
     """The inside of a ```json fence without white space around it; any other text as it is."""
-    inner = F.regexp_replace(F.substr(text, F.lit(8), F.length(text) - 10), r"(?U)^\s+|\s+$", "")
+    inner = strip(F.substr(text, F.lit(8), F.length(text) - 10))
     return F.when(text.startswith("```json") & text.endswith("```"), inner).otherwise(text)
 
 
@@ -105,7 +113,7 @@ def render(template: str, **values: Column) -> Column:
 def split_labels(text: Column, full_width: bool = True, drop_empty: bool = True) -> Column:
     """Labels between semicolons, trimmed; an empty list for null."""
     source = F.translate(text, "；", ";") if full_width else text
-    parts = F.transform(F.split(source, ";", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    parts = F.transform(F.split(source, ";", -1), strip)
     if drop_empty:
         parts = F.filter(parts, lambda x: x != "")
     return F.coalesce(parts, F.array().cast("array<string>"))
@@ -124,16 +132,3 @@ def first_label(text: Column) -> Column:
 def first_contained(text: Column, allowed: list[str]) -> Column:
     """The first of ``allowed``, in their order, that the text contains; null without one."""
     return F.get(F.filter(F.array(*[F.lit(a) for a in allowed]), lambda a: F.contains(text, a)), F.lit(0))
-
-
-def parse_labels(answer: Column) -> Column:
-    """An answer ``{category: [factor, ...]}`` as a map; an empty map where it doesn't parse."""
-    parsed = F.from_json(strip_code_fence(answer), "map<string,array<string>>")
-    return F.coalesce(parsed, F.create_map().cast("map<string,array<string>>"))
-
-
-def parse_sub_factors(answer: Column, drop: str = "Unclassified") -> Column:
-    """The list under ``secondary_factors`` or ``secondary_factor``; empty where it doesn't parse."""
-    parsed = F.from_json(strip_code_fence(answer), "secondary_factors array<string>, secondary_factor array<string>")
-    names = F.coalesce(parsed["secondary_factors"], parsed["secondary_factor"], F.array().cast("array<string>"))
-    return F.filter(names, lambda x: x.isNotNull() & (x != drop))

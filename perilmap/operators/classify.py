@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_label, ordered_distinct, parse_labels, parse_sub_factors, render
+from ..functions.text import first_label, render
+from .answers import flatten_labels, sub_factors
 
 Classifier = Callable[[pd.Series], pd.Series]
 
@@ -100,14 +101,14 @@ def classify_texts(rows: DataFrame, column: str, classify: Classifier, tries: in
 def main_labels(rows: DataFrame, column: str, classify: Classifier, categories: tuple[str, ...], **calls) -> DataFrame:
     """``rows`` with ``Risk_Factors`` and ``Factor_Categories``, each joined by ``; `` ('' where nothing was found)."""
     prompt = MAIN_PROMPT.replace("{categories}", ", ".join(categories))
-    flat = flatten_answers(classify_texts(rows, column, classify, template=prompt, **calls))
+    flat = flatten_labels(classify_texts(rows, column, classify, template=prompt, **calls))
     return flat.withColumn("Risk_Factors", F.array_join("factors", "; ")).withColumn("Factor_Categories", F.array_join("categories", "; ")).drop("answer", "factors", "categories")
 
 
 def sub_labels(rows: DataFrame, column: str, classify: Classifier, names: tuple[str, ...], **calls) -> DataFrame:
     """``rows`` with ``Secondary_Factors``, joined by ``; ``, of the text (a path, say) in ``column``."""
     answered = classify_texts(rows, column, classify, template=SUB_PROMPT.replace("{names}", ", ".join(names)), **calls)
-    return answered.withColumn("Secondary_Factors", F.array_join(parse_sub_factors(F.col("answer")), "; ")).drop("answer")
+    return answered.withColumn("Secondary_Factors", F.array_join(sub_factors(F.col("answer")), "; ")).drop("answer")
 
 
 def node_classes(counts: DataFrame, classify: Classifier, names: tuple[str, ...], **calls) -> DataFrame:
@@ -116,15 +117,6 @@ def node_classes(counts: DataFrame, classify: Classifier, names: tuple[str, ...]
     return sub_labels(ends, "name", classify, names, **calls).select("name", first_label(F.col("Secondary_Factors")).alias("cls"))
 
 
-def flatten_answers(answered: DataFrame) -> DataFrame:
-    """Adds ``categories`` and ``factors`` of an answer; each list is freed of repeats on its own."""
-    labels = parse_labels(F.col("answer"))
-    entries = F.filter(F.map_entries(labels), lambda e: F.size(e["value"]) > 0)
-    categories = F.flatten(F.transform(entries, lambda e: F.transform(e["value"], lambda _: e["key"])))
-    factors = F.flatten(F.transform(entries, lambda e: e["value"]))
-    return answered.select("*", ordered_distinct(categories).alias("categories"), ordered_distinct(factors).alias("factors"))
-
-
 def classification_log(counts: DataFrame, classes: DataFrame) -> DataFrame:
     """(source, target, cnt, source_class, target_class, status) of every edge."""
     one, two = classes.select(F.col("name").alias("source"), F.col("cls").alias("source_class")), classes.select(F.col("name").alias("target"), F.col("cls").alias("target_class"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.text import first_contained
+from .answers import triplets
 
 DEFECT = "QUALITY_DEFECT"
 MOST_TRIPLETS = 20
@@ -22,7 +23,6 @@ ALLOWED_RELATIONS = {
     "PROCESS_FACTOR": ("LEADS_TO", "BELONGS_TO"),
     "CONSTRUCTION_STAGE": (),
 }
-TRIPLET = "struct<head:string,head_type:string,relation:string,tail:string,tail_type:string>"
 
 
 def relation_schema(spark: SparkSession, allowed=None) -> DataFrame:
@@ -32,19 +32,18 @@ def relation_schema(spark: SparkSession, allowed=None) -> DataFrame:
 
 
 def explode_triplets(answers: DataFrame, column: str = "answer", most: int = MOST_TRIPLETS) -> DataFrame:
-    """Rows of the first ``most`` triples in each JSON answer; none where it doesn't parse."""
-    parsed = F.from_json(F.col(column), f"array<{TRIPLET}>")
-    return answers.select(*[c for c in answers.columns if c != column], F.explode(F.slice(parsed, 1, most)).alias("t")).select("*", "t.*").drop("t")
+    """Rows of the first ``most`` triples in each JSON answer, with their place ``pos``; none where it doesn't parse."""
+    return triplets(answers, column, most)
 
 
-def clean_triplets(triplets: DataFrame, defects: list[str] | None = None) -> DataFrame:
+def clean_triplets(found: DataFrame, defects: list[str] | None = None) -> DataFrame:
     """Drop incomplete and self edges, then replace defects by the first allowed name they contain.
 
     Self edges are told before the names are normalized; a defect without an allowed name
     drops its triple.
     """
     allowed = ALLOWED_DEFECTS if defects is None else defects
-    out = triplets.filter("head <> '' AND tail <> '' AND head <> tail")
+    out = found.filter("head <> '' AND tail <> '' AND head <> tail")
     for end in ("head", "tail"):
         found = first_contained(F.col(end), allowed)
         is_defect = F.coalesce(F.col(f"{end}_type") == DEFECT, F.lit(False))
@@ -52,15 +51,15 @@ def clean_triplets(triplets: DataFrame, defects: list[str] | None = None) -> Dat
     return out
 
 
-def enforce_schema(triplets: DataFrame, schema: DataFrame) -> DataFrame:
+def enforce_schema(found: DataFrame, schema: DataFrame) -> DataFrame:
     """Only triples whose relation the head's kind may have."""
-    return triplets.join(F.broadcast(schema), ["head_type", "relation"], "left_semi")
+    return found.join(F.broadcast(schema), ["head_type", "relation"], "left_semi")
 
 
-def nodes(triplets: DataFrame) -> DataFrame:
+def nodes(found: DataFrame) -> DataFrame:
     """(name, type), each once."""
-    one = triplets.select(F.col("head").alias("name"), F.col("head_type").alias("type"))
-    return one.unionByName(triplets.select(F.col("tail").alias("name"), F.col("tail_type").alias("type"))).distinct()
+    one = found.select(F.col("head").alias("name"), F.col("head_type").alias("type"))
+    return one.unionByName(found.select(F.col("tail").alias("name"), F.col("tail_type").alias("type"))).distinct()
 
 
 def with_embeddings(nodes_: DataFrame, embed, column: str = "embedding") -> DataFrame:
@@ -74,8 +73,8 @@ def with_embeddings(nodes_: DataFrame, embed, column: str = "embedding") -> Data
     return nodes_.mapInPandas(add, StructType([*nodes_.schema.fields, StructField(column, ArrayType(FloatType()))]))
 
 
-def edges(triplets: DataFrame, merge: bool = False) -> DataFrame:
+def edges(found: DataFrame, merge: bool = False) -> DataFrame:
     """One edge for each case; ``merge`` keeps one for each pair of ends and relation."""
-    keep = [c for c in ("case_id", "head", "head_type", "relation", "tail", "tail_type") if c in triplets.columns]
-    out = triplets.select(*keep)
+    keep = [c for c in ("case_id", "head", "head_type", "relation", "tail", "tail_type") if c in found.columns]
+    out = found.select(*keep)
     return out.dropDuplicates(["head", "relation", "tail"]).drop("case_id") if merge else out

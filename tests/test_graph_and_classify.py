@@ -2,7 +2,7 @@ import json
 
 import pandas as pd
 
-from perilmap.operators import classify, graph
+from perilmap.operators import answers, classify, graph
 
 
 def test_clean_triplets(spark):
@@ -24,7 +24,7 @@ def test_clean_triplets(spark):
 def test_explode_triplets(spark):
     t = {"head": "a", "head_type": "HUMAN_FACTOR", "relation": "LEADS_TO", "tail": "b", "tail_type": "QUALITY_DEFECT"}
     df = spark.createDataFrame([(1, json.dumps([t] * 25)), (2, "broken"), (3, None)], "case_id long, answer string")
-    rows = graph.explode_triplets(df).collect()
+    rows = graph.explode_triplets(df).orderBy("pos").collect()
     assert len(rows) == 20 and rows[0]["tail"] == "b"
 
 
@@ -41,7 +41,7 @@ def test_pluggable_classifier(spark):
         return texts.map(lambda t: json.dumps({"Human": [t, t], "Equipment": ["x"], "Material": []}))
 
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, " ")], "id long, text string")
-    out = classify.flatten_answers(classify.classify_texts(df, "text", model)).orderBy("id").collect()
+    out = answers.flatten_labels(classify.classify_texts(df, "text", model)).orderBy("id").collect()
     assert [r["status"] for r in out] == ["Success", "Success", "Skipped", "Skipped"]
     assert out[0]["factors"] == ["a", "x"] and out[0]["categories"] == ["Human", "Equipment"] and out[2]["factors"] == []
 

@@ -1,5 +1,3 @@
-import json
-
 from pyspark.sql import functions as F
 
 from perilmap.functions import text as tx
@@ -49,10 +47,23 @@ def test_render(spark):
     assert [r[0] for r in row] == ["{} a {b}: 3!", "{} : 4!"]
 
 
-def test_answers(spark):
-    good = json.dumps({"Human": ["a", "b"], "Material": []})
-    assert one(spark, tx.parse_labels, good) == {"Human": ["a", "b"], "Material": []}
-    assert one(spark, tx.parse_labels, "no json") == {} and one(spark, tx.parse_labels, None) == {}
-    assert one(spark, tx.parse_sub_factors, '{"secondary_factor": ["Skill Level", "Unclassified"]}') == ["Skill Level"]
-    assert one(spark, tx.parse_sub_factors, '{"secondary_factors": ["X"]}') == ["X"]
-    assert one(spark, tx.parse_sub_factors, "[") == []
+def test_long_runs_take_linear_time(spark):
+    """100,000 spaces, hashes or labels inside a text, in every pattern that meets such runs."""
+    import time
+
+    n = 100_000
+    texts = ["a" + " " * n + "b", "\u3000" * n + "x" + "\t" * n, "#" * n, " #" * n, "a ########## " * 10_000, "1. Occurrence Time" + " " * n, "1. Occurrence Time: x " * 20_000, "Case " * n, ";" * n]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.monotonic()
+    assert docs.select(F.size(tx.split_labels(F.col("text"))).alias("n"), "doc_id").filter("doc_id < 2").agg(F.sum("n")).first()[0] == 2
+    assert docs.select(F.max(F.length(tx.strip(F.col("text"))))).first()[0] > n
+    assert {r[0]: r[1] for r in tx.split_hashes(docs).groupBy("doc_id").count().collect()}[4] == 10_000
+    assert tx.split_cases(docs, numbered=False).count() > 0
+    assert tx.extract_sections(docs.withColumnRenamed("text", "segment")).filter("occurrence_time <> ''").count() == 0
+    assert time.monotonic() - began < 60
+
+
+def test_hashes_after_hashes(spark):
+    docs = spark.createDataFrame([(1, "a \n##########  ########## b"), (2, "##########" * 2), (3, "x  ##########")], "doc_id long, text string")
+    got = [(r["doc_id"], r["seg_no"], r["segment"]) for r in tx.split_hashes(docs).orderBy("doc_id", "seg_no").collect()]
+    assert got == [(1, 0, "a"), (1, 2, "b"), (3, 0, "x")]
