@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import batched
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .excel import Book, shown
+from .staged import filesystem
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -82,43 +84,23 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", schema: st
     return raw.select(*[F.nullif(of(f), F.lit("")).try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, StringType) else of(f) for f in fields])
 
 
-def workbook_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row from 0, cells as text) of an Excel workbook."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_S}si")]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
-            target = targets[sheet.get(f"{_R}id")].lstrip("/")
-            for k, row in enumerate(ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_S}row")):
-                cells: list[str | None] = []
-                for c in row.findall(f"{_S}c"):
-                    at = 0
-                    for ch in (c.get("r") or "").rstrip("0123456789"):
-                        at = at * 26 + ord(ch) - 64
-                    cells += [None] * (at - 1 - len(cells))
-                    v = c.find(f"{_S}v")
-                    text = "".join(t.text or "" for t in c.iter(f"{_S}t")) if c.get("t") == "inlineStr" else None if v is None else shared[int(v.text)] if c.get("t") == "s" else v.text
-                    cells.append(text)
-                yield sheet.get("name"), k, cells
-
-
 def read_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """(path, sheet, row_pos, cells map<header,string>) of all sheets, or of one."""
+    """(path, sheet, row_pos, cells map<header,string>) of all sheets, or of one, of files with any columns.
+
+    Where the columns are known, the ``workbook`` format reads them with their types.
+    """
 
     def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows, header, now = [], [], None
-                for name, k, cells in workbook_rows(content):
-                    if name != now:
-                        now, header = name, cells
-                    elif sheet is None or name == sheet:
-                        rows.append((file, name, k, {h: c for h, c in zip(header, cells, strict=False) if h is not None}))
-                yield pd.DataFrame(rows, columns=["path", "sheet", "row_pos", "cells"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, sheet string, row_pos long, cells map<string,string>")
+            for file in pdf["path"]:
+                with Book(filesystem(file)[1], file) as book:
+                    for name in book.sheets if sheet is None else [sheet] if sheet in book.sheets else []:
+                        rows = enumerate(book.rows(name))
+                        header = {k: shown(v) for k, v in next(rows, (0, {}))[1].items()}
+                        for some in batched(rows, 10_000):
+                            yield pd.DataFrame([(file, name, k, {header[c]: shown(v) for c, v in cells.items() if c in header}) for k, cells in some], columns=["path", "sheet", "row_pos", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInPandas(read, "path string, sheet string, row_pos long, cells map<string,string>")
 
 
 def read_sheets(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from itertools import batched
-from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
-from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OPC = "http://schemas.openxmlformats.org/package/2006/"
-_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-_SHEETS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-_KIND = "application/vnd.openxmlformats-officedocument.spreadsheetml."
+from .excel import MOST_ROWS, register
+from .staged import files_of
+
 SEPARATOR = "\n##########\n\n"
 
 
@@ -69,48 +62,8 @@ def write_graph_to(edges: DataFrame, save_batch, parallel: int | None = None, ba
     (edges.repartition(parallel) if parallel else edges).foreachPartition(save)
 
 
-def workbook(sheet: str, columns: list[str], rows: list[tuple]) -> bytes:
-    """An Excel workbook of one sheet: a header, then the rows; null cells are left out."""
-
-    def cell(value, k: int) -> str:
-        at, name = k + 1, ""
-        while at:
-            at, rest = divmod(at - 1, 26)
-            name = chr(65 + rest) + name
-        if value is None or value != value:
-            return ""
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            return f'<c r="{name}{{row}}"><v>{value}</v></c>'
-        text = escape("".join(c for c in str(value) if c in "\t\n\r" or c >= " ")).replace("{", "{{").replace("}", "}}")
-        return f'<c r="{name}{{row}}" t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
-
-    body = "".join(f'<row r="{n}">' + "".join(cell(v, k) for k, v in enumerate(row)).format(row=n) + "</row>" for n, row in enumerate([tuple(columns), *rows], 1))
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{_OPC}content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="{_KIND}sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{_KIND}worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{_OPC}relationships"><Relationship Id="r1" Type="{_OFFICE}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{_SHEETS}" xmlns:r="{_OFFICE}"><sheets><sheet name={quoteattr(sheet)} sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{_OPC}relationships"><Relationship Id="r1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'{head}<worksheet xmlns="{_SHEETS}"><sheetData>{body}</sheetData></worksheet>')
-    return out.getvalue()
-
-
-def write_workbooks(df: DataFrame, path: str, sheet: str = "Sheet1", most_rows: int = 100_000) -> int:
-    """Excel files of at most ``most_rows`` rows in the folder ``path``, written by the tasks; how many.
-
-    A task that runs again writes the same names again. Cells are text or numbers.
-    """
-    columns = df.columns
-
-    def write(it):
-        fs_, folder = fs.FileSystem.from_uri(path)
-        fs_.create_dir(folder, recursive=True)
-        k, task = 0, TaskContext.get().partitionId()
-        rows = (tuple(v.item() if hasattr(v, "item") else v for v in row) for pdf in it for row in pdf.itertuples(index=False, name=None))
-        for k, some in enumerate(batched(rows, most_rows), 1):
-            with fs_.open_output_stream(f"{folder}/part-{task:05d}-{k:03d}.xlsx") as out:
-                out.write(workbook(sheet, columns, list(some)))
-        yield pd.DataFrame({"n": [k]})
-
-    return df.mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+def write_workbooks(df: DataFrame, path: str, sheet: str = "Sheet1", most_rows: int = MOST_ROWS) -> int:
+    """Excel files of one sheet of at most ``most_rows`` rows in the folder ``path``, all of them or none; how many the folder holds."""
+    register(df.sparkSession)
+    df.write.format("workbook").mode("append").option("sheet", sheet).option("maxrows", most_rows).save(path)
+    return len(files_of(path, ".xlsx"))

@@ -69,7 +69,7 @@ def test_excel_files(spark, tmp_path):
     df = spark.createDataFrame([(k, f"a & b <{k}> {{x}}", None if k % 2 else k / 2) for k in range(7)], "n int, `Risk Factors` string, t double").repartition(2)
     assert writers.write_workbooks(df, (tmp_path / "x").as_uri(), "Path risks", most_rows=3) == len(list((tmp_path / "x").glob("*.xlsx")))
     rows = readers.read_workbook(spark, str(tmp_path / "x"), "Path risks").collect()
-    assert sorted((int(r["cells"]["n"]), r["cells"]["Risk Factors"], r["cells"].get("t")) for r in rows) == [(k, f"a & b <{k}> {{x}}", None if k % 2 else str(k / 2)) for k in range(7)]
+    assert sorted((int(r["cells"]["n"]), r["cells"]["Risk Factors"], r["cells"].get("t")) for r in rows) == [(k, f"a & b <{k}> {{x}}", None if k % 2 else str(k // 2)) for k in range(7)]
 
 
 def test_sheets(spark, tmp_path):
