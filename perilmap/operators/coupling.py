@@ -1,22 +1,31 @@
 """Multi-information ("coupling") of factor subsets, in bits.
 
 ``T(S) = sum over states p * log2(p / product of the factors' marginals)``. Cases are first
-reduced to their distinct masks, at most 2 ** factors rows however many cases there are. Each
-mask counts for the small sets of factors that it holds; the number of cases in any state of
-any subset follows from these counts by inclusion and exclusion, exactly, as they are integers.
+reduced to their distinct masks, at most 2 ** factors rows however many cases there are. The
+number of cases in any state of a subset follows from the numbers that hold each of its sets of
+factors by inclusion and exclusion, exactly, as they are integers.
+
+The counts of all 2 ** factors sets come from a zeta transform: one step for each factor adds the
+counts of the masks that hold it to those that don't. All subsets of an order are then rows of
+one array.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.taxonomy import Taxonomy
-from .encode import bit_string, bits_to_codes
+from .encode import bit_string
 
 MAIN_EPS, SUB_EPS = 1e-10, 1e-12
+#: Factors of a lattice whose 2 ** factors counts one task holds (8 MB).
+MOST_FACTORS = 20
 
 
 def states(masks: DataFrame) -> DataFrame:
@@ -50,48 +59,55 @@ def marginals(states_: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.factor", "r.state", "r.p")
 
 
-def subsets(size: int, orders: tuple[int, ...]) -> list[int]:
-    """Masks of all subsets of the given orders."""
-    return [sum(1 << k for k in c) for o in orders for c in combinations(range(size), o)]
+def superset_counts(masks: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """For each set of factors, how many cases hold all of it: a zeta transform, a step for each factor."""
+    out = np.zeros(1 << size, dtype=np.int64)
+    np.add.at(out, masks, n)
+    for k in range(size):
+        halves = out.reshape(-1, 2, 1 << k)
+        halves[:, 0] += halves[:, 1]
+    return out
 
 
-def _held(mask: Column, size: int, most: int) -> Column:
-    """The sets of at most ``most`` factors that a mask holds, as masks, the empty one first."""
-    bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)), lambda b: b.bitwiseAND(mask) != 0)
-    out = last = F.array(F.lit(0).cast("bigint"))
-    for _ in range(most):
-        last = F.flatten(F.transform(last, lambda s: F.transform(F.filter(bits, lambda b: b > s), lambda b: b.bitwiseOR(s))))  # noqa: B023
-        out = F.concat(out, last)
-    return out
+def lattice_values(holding: np.ndarray, size: int, order: int, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """(subset, coupling) of all subsets of one order."""
+    bits = 1 << np.array(list(combinations(range(size), order)), dtype=np.int64)
+    inside = np.array([[p >> k & 1 for k in range(order)] for p in range(1 << order)], dtype=np.int64)
+    counts = holding[bits @ inside.T]  # by the factors that a case must hold
+    total = float(holding[0])
+    for k in range(order):  # and holds no others of the subset
+        halves = counts.reshape(len(bits), -1, 2, 1 << k)
+        halves[:, :, 0] -= halves[:, :, 1]
+    ones = holding[bits]
+    q = np.ones(counts.shape)
+    for k in range(order):
+        q *= np.where(inside[:, k] == 1, ones[:, k, None] / total, (holding[0] - ones[:, k, None]) / total)
+    p = counts / total
+    fine = (p > eps) & (q > eps)
+    terms = np.where(fine, p * np.log2(np.where(fine, p, 1.0) / np.where(fine, q, 1.0)), 0.0)
+    return bits.sum(axis=1), terms.sum(axis=1)
 
 
 def couplings(states_: DataFrame, taxonomy: Taxonomy, orders: tuple[int, ...], eps: float) -> DataFrame:
-    """(order, subset, factors, t_value) of every subset; no rows for no cases.
+    """(order, subset, factors, t_value) of every subset of these orders; no rows for no cases.
 
-    States with p, or a product of marginals, of at most ``eps`` add nothing.
+    States with p, or a product of marginals, of at most ``eps`` add nothing. The distinct
+    masks, 2 ** factors rows at most, are the whole input of one task.
     """
-    size, most = len(taxonomy.codes), max(orders)
-    counts = states_.select("n", F.explode(_held(F.col("mask"), size, most)).alias("set")).groupBy("set").agg(F.sum("n").alias("n"))
-    every = F.split(F.lit(",".join(map(str, subsets(size, orders)))), ",").cast("array<bigint>")
-    inside = states_.sparkSession.range(1).select(F.explode(every).alias("subset")).select("subset", F.explode(_held(F.col("subset"), size, most)).alias("set"))
-    entry = F.struct("set", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
-    held = inside.join(counts, "set", "left").groupBy("subset").agg(F.map_from_entries(F.collect_list(entry)).alias("cases")).filter(F.col("cases")[F.lit(0).cast("bigint")] > 0)
-
-    cases = lambda u: F.col("cases")[u]
-    total = cases(F.lit(0).cast("bigint")).cast("double")
-    sets = F.array_sort(F.map_keys("cases"))
-
-    def state(s: Column) -> Column:
-        """Cases in exactly this state of the subset, and the product of its marginals."""
-        above = F.filter(sets, lambda u: u.bitwiseAND(s) == s)
-        n = F.aggregate(above, F.lit(0).cast("bigint"), lambda a, u: a + F.when(F.bit_count(u.bitwiseXOR(s)) % 2 == 0, cases(u)).otherwise(-cases(u)))
-        bits = F.filter(sets, lambda u: F.bit_count(u) == 1)
-        q = F.aggregate(bits, F.lit(1.0), lambda a, b: a * (F.when(s.bitwiseAND(b) != 0, cases(b)).otherwise(total - cases(b)).cast("double") / total))
-        return F.struct((n.cast("double") / total).alias("p"), q.alias("q"))
-
-    term = lambda x: F.when((x["p"] > eps) & (x["q"] > eps), x["p"] * F.log2(x["p"] / x["q"])).otherwise(F.lit(0.0))
-    t = F.aggregate(F.transform(sets, state), F.lit(0.0), lambda a, x: a + term(x))
-    return held.select(F.bit_count("subset").cast("int").alias("order"), "subset", bits_to_codes(F.col("subset"), taxonomy).alias("factors"), t.alias("t_value"))
+    codes = taxonomy.codes
+    if len(codes) > MOST_FACTORS:
+        raise ValueError(f"at most {MOST_FACTORS} factors")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.concat([pd.DataFrame({"mask": [], "n": []}, dtype="int64"), *batches])
+        if not held["n"].sum():
+            return
+        holding = superset_counts(held["mask"].to_numpy(), held["n"].to_numpy(), len(codes))
+        for order in orders:
+            subset, t = lattice_values(holding, len(codes), order, eps)
+            yield pd.DataFrame({"order": order, "subset": subset, "factors": [[c for k, c in enumerate(codes) if s >> k & 1] for s in subset.tolist()], "t_value": t})
+
+    return states_.select("mask", "n").repartition(1).mapInPandas(run, "order int, subset long, factors array<string>, t_value double")
 
 
 def main_couplings(states_: DataFrame, taxonomy: Taxonomy) -> DataFrame:

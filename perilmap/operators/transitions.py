@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stored import stored
-
 
 def edge_counts(edges: DataFrame, relation: str | None = "LEADS_TO") -> DataFrame:
     """(source, target, cnt) of edges (head, tail[, relation])."""
@@ -40,36 +38,24 @@ def strongest_successors(frequency: DataFrame, k: int) -> DataFrame:
     return frequency.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k).drop("r")
 
 
-def steps(transitions: DataFrame) -> DataFrame:
-    """(s, t, p, hop, onward): all edges between different nodes (hop 1) and for each node one step that stays (hop 0).
-
-    ``onward``: whether ``t`` has an outgoing edge. Stored, as every hop reads it.
-    """
-    edges = transitions.filter("p > 0").select("s", "t", "p")
-    sources = edges.select(F.col("s").alias("from")).distinct()
-    moves = edges.filter("s <> t").withColumn("hop", F.lit(1))
-    nodes = edges.select("s").union(edges.select("t")).distinct()
-    every = moves.unionByName(nodes.select("s", F.col("s").alias("t"), F.lit(1.0).alias("p"), F.lit(0).alias("hop")))
-    return stored(every.join(sources, F.col("t") == F.col("from"), "left").select("s", "t", "p", "hop", F.col("from").isNotNull().alias("onward")))
-
-
-def _renamed(steps_: DataFrame) -> DataFrame:
-    return steps_.select(*[F.col(c).alias(f"_{c}") for c in steps_.columns])
+def _moves(transitions: DataFrame) -> DataFrame:
+    """(_s, _t, _p): the edges between different nodes. Every hop joins them by ``_s``, so Spark shuffles them once."""
+    return transitions.filter("p > 0 AND s <> t").select(F.col("s").alias("_s"), F.col("t").alias("_t"), F.col("p").alias("_p"))
 
 
 def simple_paths(transitions: DataFrame, hops: int = 4) -> DataFrame:
     """(nodes, prob) of every path without a repeated node and of 1 to ``hops`` edges.
 
-    The product runs left to right from 1. Each hop carries all paths on and extends the newest.
+    The product runs left to right from 1. Each hop extends the paths of the hop before.
     """
-    every = steps(transitions)
-    step = _renamed(every)
-    now = every.filter("hop = 1").select(F.array("s", "t").alias("nodes"), (F.lit(1.0) * F.col("p")).alias("prob"))
-    for k in range(2, hops + 1):
-        stays, fits = F.col("_hop") == 0, (F.size("nodes") == k) & ~F.array_contains("nodes", F.col("_t"))
-        joined = now.join(step, (F.element_at("nodes", -1) == F.col("_s")) & (stays | fits))
-        now = joined.select(F.when(stays, F.col("nodes")).otherwise(F.array_append("nodes", F.col("_t"))).alias("nodes"), (F.col("prob") * F.col("_p")).alias("prob"))
-    return now
+    move = _moves(transitions)
+    now = move.select(F.array("_s", "_t").alias("nodes"), F.col("_t").alias("last"), (F.lit(1.0) * F.col("_p")).alias("prob"))
+    out = now
+    for _ in range(hops - 1):
+        longer = now.join(move, (F.col("last") == F.col("_s")) & ~F.array_contains("nodes", F.col("_t")))
+        now = longer.select(F.array_append("nodes", F.col("_t")).alias("nodes"), F.col("_t").alias("last"), (F.col("prob") * F.col("_p")).alias("prob"))
+        out = out.unionByName(now)
+    return out.drop("last")
 
 
 def best_paths(transitions: DataFrame, hops: int = 4, include_sinks: bool = False) -> DataFrame:
@@ -81,19 +67,19 @@ def best_paths(transitions: DataFrame, hops: int = 4, include_sinks: bool = Fals
     the best of ``hops`` edges extends a best one of fewer, and as no probability exceeds 1, a
     path that repeats a node is never better than the same one without the loop.
     """
-    every = steps(transitions)
-    step = _renamed(every)
-    now = every.filter("hop = 1").select(F.col("s").alias("start_node"), F.col("t").alias("end_node"), F.struct((-F.col("p")).alias("minus"), F.lit(2).alias("n"), F.concat("s", F.lit(" -> "), "t").alias("path"), F.array("s", "t").alias("nodes"), "onward").alias("b"))
+    move = _moves(transitions)
+    first = F.struct((-F.col("_p")).alias("minus"), F.lit(2).alias("n"), F.concat("_s", F.lit(" -> "), "_t").alias("path"), F.array("_s", "_t").alias("nodes"))
+    now = move.select(F.col("_s").alias("start_node"), F.col("_t").alias("end_node"), first.alias("b"))
     for _ in range(hops - 1):
-        joined = now.join(step, (F.col("end_node") == F.col("_s")) & (F.col("start_node") != F.col("_t")))
-        stays = F.col("_hop") == 0
-        longer = F.struct(
-            (F.col("b.minus") * F.col("_p")).alias("minus"), (F.col("b.n") + F.col("_hop")).alias("n"), F.when(stays, F.col("b.path")).otherwise(F.concat("b.path", F.lit(" -> "), "_t")).alias("path"),
-            F.when(stays, F.col("b.nodes")).otherwise(F.array_append("b.nodes", F.col("_t"))).alias("nodes"), F.col("_onward").alias("onward"),
-        )
-        now = joined.select("start_node", F.col("_t").alias("end_node"), longer.alias("b")).groupBy("start_node", "end_node").agg(F.min("b").alias("b"))
+        joined = now.join(move, F.col("end_node") == F.col("_s"), "left")
+        fits = F.coalesce(F.col("start_node") != F.col("_t"), F.lit(False))
+        longer = F.struct((F.col("b.minus") * F.col("_p")).alias("minus"), (F.col("b.n") + 1).alias("n"), F.concat("b.path", F.lit(" -> "), "_t").alias("path"), F.array_append("b.nodes", F.col("_t")).alias("nodes"))
+        # Each row gives the path as it was and, where an edge leads on, the longer one.
+        stays = F.struct(F.col("end_node"), F.col("b"))
+        both = F.when(fits, F.array(stays, F.struct(F.col("_t").alias("end_node"), longer.alias("b")))).otherwise(F.array(stays))
+        now = joined.select("start_node", F.explode(both).alias("x")).groupBy("start_node", F.col("x.end_node").alias("end_node")).agg(F.min("x.b").alias("b"))
     if not include_sinks:
-        now = now.filter("b.onward")
+        now = now.join(transitions.filter("p > 0").select(F.col("s").alias("end_node")).distinct(), "end_node", "left_semi")
     return now.select("start_node", "end_node", F.col("b.nodes").alias("nodes"), F.col("b.path").alias("max_path"), (-F.col("b.minus")).alias("prob"))
 
 

@@ -334,6 +334,12 @@ def coupling_top20(spark, sf):
     return coupling.ranked(_shown(_sub(spark, sf)), 20)
 
 
+@query(_coupling_sql(_SUB_MASK, 17, "bit_count(range) BETWEEN 2 AND 6"))
+def coupling_orders(spark, sf):
+    """All 21,760 subsets of two to six of the 17 sub-factors."""
+    return _shown(coupling.couplings(coupling.states(_masks(spark, sf, SUB_BY_BRAND)), SUB_BY_BRAND, (2, 3, 4, 5, 6), coupling.SUB_EPS))
+
+
 # --- transitions and paths ----------------------------------------------------------------
 
 
@@ -364,11 +370,17 @@ _BRAND_EDGES = f"SELECT s, t, count(*) AS cnt FROM ({_BRAND_STEPS}) WHERE t IS N
 
 
 def _brand_frequency(spark, sf) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    steps = _branded(spark, sf).select(F.col("p_brand").alias("s"), F.lead("p_brand").over(w).alias("t")).filter("t IS NOT NULL")
+    """(s, t, cnt) of consecutive brands of an order; of the same shuffle by order as ``_listed_masks``."""
+    after = F.slice("brands", F.lit(2), F.size("brands"))
+    pairs = F.zip_with(F.slice("brands", F.lit(1), F.size("brands") - 1), after, lambda s, t: F.struct(s.alias("s"), t.alias("t")))
+    steps = _order_lists(spark, sf).select(F.explode(pairs).alias("p")).select("p.s", "p.t")
     return steps.groupBy("s", "t").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _listed_masks(spark, sf) -> DataFrame:
+    return _order_lists(spark, sf).select(F.col("l_orderkey").alias("case_id"), encode.mask_of_list(F.col("brands"), SUB_BY_BRAND).alias("mask"))
+
+
 def _top(edges: str) -> str:
     return f"SELECT s, t, cnt FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY cnt DESC, t) AS r FROM ({edges})) WHERE r <= {SUCCESSORS}"
 
@@ -426,7 +438,8 @@ def top5_paths(spark, sf):
 
 def _risks(spark, sf) -> DataFrame:
     paths = _best(spark, sf).select(F.transform("nodes", lambda x: F.coalesce(SUB_BY_BRAND.code_map()[x], F.lit("UNK"))).alias("codes"), "prob")
-    return scoring.join_risks(_sub(spark, sf).withColumn("t_value", F.round("t_value", 12)), paths.withColumn("prob", F.round("prob", 12)))
+    couplings = coupling.sub_couplings(coupling.states(_listed_masks(spark, sf)), SUB_BY_BRAND)
+    return scoring.join_risks(couplings.withColumn("t_value", F.round("t_value", 12)), paths.withColumn("prob", F.round("prob", 12)))
 
 
 _RISKS = f"""{_paths_sql(_BRAND_EDGES)}, {_BEST},

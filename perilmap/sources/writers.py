@@ -1,9 +1,7 @@
-"""Writers: delimited text, CSV, JSON, sheets, Excel files, graphs."""
+"""Writers: delimited text, CSV, JSON, sheets, Excel files, graph files (a graph database: ``graph_store``)."""
 
 from __future__ import annotations
 
-from itertools import batched
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +50,6 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.parquet(f"{path.rstrip('/')}/edges")
 
 
-def write_graph_to(edges: DataFrame, save_batch, parallel: int | None = None, batch: int = 1000) -> None:
-    """Hand edges to a graph database's client on the executors, at most ``batch`` at a time: ``save_batch(rows)``."""
-
-    def save(rows) -> None:
-        for some in batched(rows, batch):
-            save_batch([r.asDict() for r in some])
-
-    (edges.repartition(parallel) if parallel else edges).foreachPartition(save)
-
-
 def write_workbooks(df: DataFrame, path: str, sheet: str = "Sheet1", most_rows: int = MOST_ROWS) -> int:
     """Excel files of one sheet of at most ``most_rows`` rows in the folder ``path``, all of them or none; how many the folder holds."""
     register(df.sparkSession)

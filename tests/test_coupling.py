@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,27 @@ def test_encoding(spark):
     assert (r["a"], r["b"], r["c"]) == ("H1 H3 H1 MA2", "H1 UNK H3 H1 MA2", "101000")
     assert r["m"] == 1 << 0 | 1 << 2 | 1 << SUB_FACTORS.bit("MA2")
     assert SUB_FACTORS.table(spark).filter("parent = 'MG'").count() == 3
+
+
+def test_lattice_against_small_orders_and_definition(spark):
+    """Orders two and three by both ways, four to six by the definition, on random masks of 17 factors."""
+    rng = random.Random(8)
+    masks = [rng.getrandbits(17) & rng.getrandbits(17) | (rng.random() < 0.3) * 0b1011 for _ in range(400)]
+    small, lattice = t_of(spark, masks, SUB_FACTORS, (2, 3)), t_of(spark, masks, SUB_FACTORS, (2, 3, 4, 5, 6))
+    assert len(lattice) == 21_760 and all(lattice[f] == pytest.approx(t, abs=1e-12) for f, t in small.items())
+    for order in (4, 5, 6):
+        for bits in rng.sample(list(combinations(range(17), order)), 25) + [tuple(range(order))]:
+            assert lattice[tuple(SUB_FACTORS.codes[b] for b in bits)] == pytest.approx(definition(masks, bits), abs=1e-12)
+
+
+def test_superset_counts():
+    rng = random.Random(2)
+    masks = [rng.getrandbits(6) for _ in range(90)]
+    found = coupling.superset_counts(np.array(masks), np.ones(90, dtype=np.int64), 6)
+    assert found.tolist() == [sum(m & s == s for m in masks) for s in range(64)]
+
+
+def test_lattice_of_nothing(spark):
+    assert t_of(spark, [], SUB_FACTORS, (4,)) == {} and set(t_of(spark, [0, 0], SUB_FACTORS, (4,)).values()) == {0.0}
+    with pytest.raises(ValueError):
+        coupling.couplings(None, Taxonomy(tuple(f"c{k}" for k in range(21)), ()), (4,), 0)

@@ -1,4 +1,3 @@
-import json
 import zipfile
 from decimal import Decimal
 
@@ -82,21 +81,6 @@ def test_sheets(spark, tmp_path):
         writers.add_sheet_column(df.filter("sheet = 'two'"), str(tmp_path / "u"), "code", F.lit("x"))
 
 
-def test_edges_go_to_a_client_in_batches(spark, tmp_path):
-    edges = spark.range(25).selectExpr("cast(id as string) AS head", "'x' AS tail")
-    folder = str(tmp_path)
-
-    def client(rows):
-        import uuid
-        from pathlib import Path
-
-        Path(folder, uuid.uuid4().hex).write_text(json.dumps(rows))
-
-    writers.write_graph_to(edges, client, parallel=2, batch=4)
-    sent = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
-    assert max(map(len, sent)) <= 4 and sorted(int(r["head"]) for some in sent for r in some) == list(range(25))
-
-
 def test_graph_files(spark, tmp_path):
     edges = spark.createDataFrame([(1, "a", "H", "LEADS_TO", "b", "H"), (1, "a", "H", "CAUSED_BY", "b", "H")], "case_id long, head string, head_type string, relation string, tail string, tail_type string")
     writers.write_graph(edges.selectExpr("head AS name", "head_type AS type").distinct(), edges, str(tmp_path / "g"))
