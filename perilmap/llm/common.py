@@ -30,10 +30,23 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes a statement's shuffle files when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` stored as Parquet and read again: its lineage ends in files all machines see."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` stored as Parquet and read again: its lineage ends in files all machines see.
+
+    What was shuffled for it is of no use once it is stored, so its shuffle files go at once.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fresh(name: str, taken: Iterable[str]) -> str:

@@ -31,7 +31,7 @@ ROCKSDB = {
     # Without it every store reserves megabytes of disk for files of a few kilobytes.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     # Stores of a stream that has ended are let go soon.
     "spark.sql.streaming.stateStore.maintenanceInterval": "15s",
