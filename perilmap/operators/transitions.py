@@ -83,6 +83,24 @@ def best_paths(transitions: DataFrame, hops: int = 4, include_sinks: bool = Fals
     return now.select("start_node", "end_node", F.col("b.nodes").alias("nodes"), F.col("b.path").alias("max_path"), (-F.col("b.minus")).alias("prob"))
 
 
+def walks(transitions: DataFrame, hops: int = 4) -> DataFrame:
+    """(start_node, end_node, nodes, prob) of every walk of 1 to ``hops`` edges that ends on its first arrival.
+
+    Nodes and self loops may be passed again, but not the end; ends are nodes with an outgoing edge.
+    By a recursive query, whose rows Spark bounds by ``spark.sql.cteRecursionRowLimit``: their
+    number grows with a power of a node's edges, so this is for graphs of classes, not of names.
+    """
+    edges = transitions.filter("p > 0").select("s", "t", "p")
+    every = edges.sparkSession.sql(
+        f"""WITH RECURSIVE e AS (SELECT * FROM {{edges}}), w (nodes, last, prob, hop) AS (
+        SELECT array(s, t), t, CAST(1.0 AS DOUBLE) * p, 1 FROM e UNION ALL
+        SELECT array_append(nodes, e.t), e.t, prob * e.p, hop + 1 FROM w JOIN e ON w.last = e.s WHERE hop < {int(hops)})
+        SELECT nodes[0] AS start_node, last AS end_node, nodes, prob FROM w WHERE array_position(nodes, last) = size(nodes)""",
+        edges=edges,
+    )
+    return every.join(edges.select(F.col("s").alias("end_node")).distinct(), "end_node", "left_semi").select("start_node", "end_node", "nodes", "prob")
+
+
 def top_paths(paths: DataFrame, n: int = 5) -> DataFrame:
     return paths.orderBy(F.desc("prob"), F.size("nodes"), "max_path").limit(n)
 
