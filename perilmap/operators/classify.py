@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_label, render
+from ..functions.text import first_label, render, strip
 from .answers import flatten_labels, sub_factors
 
 Classifier = Callable[[pd.Series], pd.Series]
@@ -44,50 +44,75 @@ def keyword_codes(text, rules: dict) -> F.Column:
     return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), codes)[0]
 
 
-def with_retries(classify: Classifier, tries: int = 3, pause: float = 0.0) -> Callable[[pd.Series], pd.DataFrame]:
+class Pace:
+    """Lets calls of one task pass at an even rate: a token bucket that holds one token."""
+
+    def __init__(self, per_second: float):
+        self.gap, self.next = 1 / per_second, 0.0
+
+    def wait(self) -> None:
+        now = time.monotonic()
+        if now < self.next:
+            time.sleep(self.next - now)
+        self.next = max(now, self.next) + self.gap
+
+
+def with_retries(classify: Classifier, tries: int = 3, pause: float = 0.0, pace: Pace | None = None) -> Callable[[pd.Series], pd.DataFrame]:
     """Answers and a status for each text of a batch.
 
     If the call for a whole batch fails, each text is sent alone, so that one bad text spoils no
     other. Failures of transport (``OSError``, as lost connections and time-outs are) are tried
-    ``tries`` times in all; what fails then, or in any other way, is ``Failed``.
+    ``tries`` times in all; what fails then, or in any other way, is ``Failed``. With a ``pace``
+    or a ``pause`` every text is a call of its own, which waits for the pace and is followed by
+    the pause; a call that is tried again does both again.
     """
 
     def alone(text: str) -> tuple[str | None, str]:
         for _ in range(tries):
+            if pace:
+                pace.wait()
             try:
                 return classify(pd.Series([text])).iloc[0], "Success"
             except OSError:
-                time.sleep(pause)
+                continue
             except Exception:  # an answer that can't be read: the same text would fail again
                 break
+            finally:
+                time.sleep(pause)
         return None, "Failed"
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        try:
-            out = pd.DataFrame({"answer": classify(texts).to_numpy(), "status": "Success"})
-        except Exception:
-            out = pd.DataFrame([alone(t) for t in texts], columns=["answer", "status"])
-        if pause:
-            time.sleep(pause)
-        return out
+        if not (pace or pause):
+            try:
+                return pd.DataFrame({"answer": classify(texts).to_numpy(), "status": "Success"})
+            except Exception:  # one of the texts: each is tried alone
+                pass
+        return pd.DataFrame([alone(t) for t in texts], columns=["answer", "status"])
 
     return run
 
 
-def classify_texts(rows: DataFrame, column: str, classify: Classifier, tries: int = 3, pause: float = 0.0, parallel: int | None = None, template: str | None = None) -> DataFrame:
+def classify_texts(rows: DataFrame, column: str, classify: Classifier, tries: int = 3, pause: float = 0.0, parallel: int | None = None, template: str | None = None, rate: float | None = None) -> DataFrame:
     """``rows`` with ``answer`` and ``status``: each distinct text is classified once.
 
     Null and blank texts and ``nan`` are ``Skipped``. ``parallel`` bounds the number of calls at
-    a time; ``template`` is the prompt, with ``{text}`` for the text.
+    a time; ``template`` is the prompt, with ``{text}`` for the text. ``rate`` is the number of calls a
+    second over the whole cluster: each task has the share of the tasks that can run at a time,
+    ``parallel`` of them or as many as there are cores.
     """
-    run = with_retries(classify, tries, pause)
-    fine = ~F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", "")).isin("", "nan")
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if rate and not parallel:
+        parallel = cores
+    share = rate / min(parallel, cores) if rate else None
+    fine = ~F.lower(strip(F.col(column))).isin("", "nan")
     texts = rows.filter(fine).select(F.col(column).alias("_text")).distinct()
     texts = texts.withColumn("_prompt", render(template, text=F.col("_text")) if template else F.col("_text"))
     if parallel:
         texts = texts.repartition(parallel)
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = with_retries(classify, tries, pause, Pace(share) if share else None)
         for pdf in it:
             out = run(pdf["_prompt"])
             out.insert(0, "_text", pdf["_text"].to_numpy())

@@ -11,13 +11,17 @@ from .staged import files_of
 SEPARATOR = "\n##########\n\n"
 
 
-def write_cases(segments: DataFrame, path: str) -> None:
-    """A folder ``doc_id=...`` for each document with its segments (doc_id, seg_no, segment) in one text file.
+def write_cases(segments: DataFrame, path: str, files: int = 1) -> None:
+    """At most ``files`` text files that hold all segments (doc_id, seg_no, segment) in order, file after file.
 
-    The separator stands between segments only; the file ends with a line break.
+    The separator stands between the segments of a file only; a file ends with a line break.
+    The rows are parted by range, so no document, however long, must fit into a task's memory.
     """
-    order = F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "segment"))), lambda s: s["segment"])
-    segments.groupBy("doc_id").agg(F.array_join(order, SEPARATOR).alias("value")).write.partitionBy("doc_id").text(path)
+    order = ("doc_id", "seg_no")
+    sorted_ = segments.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    segment = F.coalesce("segment", F.lit(""))
+    sorted_.select(F.when(first, segment).otherwise(F.concat(F.lit(SEPARATOR[1:]), segment)).alias("value")).write.text(path)
 
 
 def write_csv(df: DataFrame, path: str, names: dict[str, str] | None = None, byte_order_mark: bool = False) -> None:

@@ -1,4 +1,7 @@
 import json
+import os
+import random
+import time
 
 import pandas as pd
 
@@ -65,6 +68,35 @@ def test_retries_end_in_a_status():
     assert list(out["status"]) == ["Success", "Failed", "Success"] and list(out["answer"])[::2] == ["A", "C"]
 
 
+def test_calls_keep_a_rate_over_all_tasks(spark, tmp_path):
+    """Eight partitions on four cores, a model that fails one call in five: all calls, repeated ones too, keep the rate."""
+    folder, rate = str(tmp_path), 20.0
+
+    def model(texts: pd.Series) -> pd.Series:
+        assert len(texts) == 1
+        with open(f"{folder}/{os.getpid()}", "a") as f:
+            f.write(f"{time.time()} {texts.iloc[0]}\n")
+        if int(texts.iloc[0]) % 5 == 0 and random.random() < 0.5:
+            raise ConnectionError
+        return texts
+
+    df = spark.range(100).selectExpr("id", "CAST(id AS STRING) AS t")
+    assert classify.classify_texts(df, "t", model, tries=20, parallel=8, rate=rate).filter("status = 'Success' AND answer = t").count() == 100
+    calls = sorted(float(line.split()[0]) for p in tmp_path.iterdir() for line in p.read_text().splitlines())
+    assert len(calls) > 100
+    # Any window of two seconds holds at most what the rate allows, but for one call that each task may start with.
+    for k, at in enumerate(calls):
+        assert sum(1 for c in calls[k:] if c < at + 2) <= 2 * rate * 1.1 + 4
+    assert (len(calls) - 1) / (calls[-1] - calls[0]) <= rate * 1.1
+
+
+def test_pace():
+    pace, began = classify.Pace(50), time.monotonic()
+    for _ in range(11):
+        pace.wait()
+    assert 0.2 <= time.monotonic() - began < 0.3
+
+
 def test_drivers_over_rows(spark):
     def model(prompts: pd.Series) -> pd.Series:
         assert prompts.str.contains("\n\n").all()

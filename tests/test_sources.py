@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from perilmap.functions.text import split_hashes
 from perilmap.sources import readers, writers
 
 
@@ -38,10 +39,52 @@ def test_text_directory_and_cases(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("x\n##########\ny", encoding="utf-8")
     assert readers.read_text_directory(spark, str(tmp_path / "in")).first()["text"].startswith("x\n#")
-    segments = spark.createDataFrame([(1, 1, "two"), (1, 0, "one")], "doc_id long, seg_no int, segment string")
-    writers.write_cases(segments, str(tmp_path / "out"))
-    text = "".join(p.read_text() for p in (tmp_path / "out").glob("doc_id=1/part-*"))
-    assert text == "one\n##########\n\ntwo\n"
+
+
+def test_cases_in_order(spark, tmp_path):
+    """One file is the reference's joined text; several hold the same segments, file after file."""
+    rows = [(d, k, f"Case{d}.{k} é\nmore") for d in range(40) for k in range(d % 5 + 1)]
+    shuffled = spark.createDataFrame(rows, "doc_id long, seg_no int, segment string").repartition(7)
+    writers.write_cases(shuffled, str(tmp_path / "one"))
+    [file] = (tmp_path / "one").glob("part-*")
+    assert file.read_text() == ("\n" + "#" * 10 + "\n\n").join(s for _, _, s in rows) + "\n"
+    writers.write_cases(shuffled, str(tmp_path / "many"), files=3)
+    files = sorted((tmp_path / "many").glob("part-*"))
+    assert 1 < len(files) <= 3
+    again = [s for f in files for s in f.read_text()[:-1].split("\n##########\n\n")]
+    assert again == [s for _, _, s in rows]
+    assert sorted(r["segment"] for r in readers.read_cases(spark, str(tmp_path / "many")).collect()) == sorted(again)
+    hashes = readers.read_text_directory(spark, str(tmp_path / "one")).select(F.lit(1).alias("doc_id"), "text")
+    assert [r["segment"] for r in split_hashes(hashes).orderBy("seg_no").collect()] == again
+    writers.write_cases(shuffled.limit(0), str(tmp_path / "none"))
+    assert readers.read_cases(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("size", [7, 64, 1000, 1 << 20])
+def test_csv_of_another_charset_by_ranges(spark, tmp_path, size):
+    """Quotes, doubled quotes and line breaks inside quotes, wherever a range begins or ends."""
+    import random
+
+    rng = random.Random(size)
+    rows = [(k, "".join(rng.choice('焊接a, "\n é') for _ in range(rng.randrange(12))), rng.choice(["", "x", "裂纹"])) for k in range(300)]
+    quote = lambda t: '"' + t.replace('"', '""') + '"'
+    head = '"序号",n,"多\n行"\n'
+    for name, text in (("a", head + "".join(f"{quote(t)},{k},{c}\n" for k, t, c in rows)), ("b", head.rstrip("\n")), ("c", head + '"open to the end",7,"x\ny"')):
+        (tmp_path / f"{name}.csv").write_bytes(text.encode("gb18030"))
+    read = readers.read_csv(spark, str(tmp_path), "GB18030", "n int, 序号 string, `多\n行` string", range_bytes=size)
+    assert sorted(map(tuple, read.collect())) == sorted([(k, t, c) for k, t, c in rows] + [(7, "open to the end", "x\ny")])
+
+
+def test_a_large_file_is_read_by_several_tasks(spark, tmp_path):
+    line = '"焊接, 接头\n裂纹",{},"' + "长" * 200 + '"\n'
+    with open(tmp_path / "g.csv", "wb") as f:
+        f.write(b"a,k,b\n")
+        for k in range(40):
+            f.write("".join(line.format(k * 1000 + j) for j in range(1000)).encode("gbk"))
+    read = readers.read_csv(spark, str(tmp_path / "g.csv"), "GBK", "k long, a string", range_bytes=2 << 20)
+    parts = read.groupBy(F.spark_partition_id().alias("p")).agg(F.count("k").alias("n"), F.sum("k").alias("s"), F.min("a").alias("a")).collect()
+    assert sum(r["n"] for r in parts) == 40_000 and sum(r["s"] for r in parts) == sum(range(40_000)) and {r["a"] for r in parts} == {"焊接, 接头\n裂纹"}
+    assert sum(r["n"] > 0 for r in parts) >= 3
 
 
 def test_csv(spark, tmp_path):
