@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import classify, describe, graph, scoring, transitions
+from ..operators import classify, describe, graph, linking, scoring, transitions
 from .catalog import _BLOBS, _CODED, _EVENT_EDGES, _LISTS, _RISKS, _TRIPLETS, _blobs, _coded, _event_frequency, _order_lists, _risks, _triplets, query, read, rounded
 from .reports import _ANSWERS, _answers
 
@@ -88,3 +88,32 @@ def prompt_render(spark, sf):
 def relation_counts(spark, sf):
     """Edges of one relation out of several, counted by their ends."""
     return transitions.edge_counts(graph.edges(_triplets(spark, sf)), "LEADS_TO")
+
+
+# --- vectors ------------------------------------------------------------------------------
+
+#: How much of a vector's successor is mixed into the vectors that stand for other spellings of a name.
+MIXES = (0.0, 0.08, 0.16, 0.24, 0.4)
+
+
+def _name_vectors(spark, sf):
+    """(id, vector): each embedding, mixtures with its successor's, and an exact copy of every third."""
+    e = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("next"))
+    joined = e.join(after, "vec_id")
+    mixed = lambda m: F.zip_with("v", "next", lambda x, y: F.lit(1.0 - m) * x + F.lit(m) * y)
+    kinds = [F.struct(F.lit(k).alias("k"), mixed(m).alias("vector")) for k, m in enumerate(MIXES)]
+    every = joined.select("vec_id", F.explode(F.concat(F.array(*kinds), F.when(F.col("vec_id") % 3 == 0, F.array(F.struct(F.lit(9).alias("k"), mixed(0.0).alias("vector")))).otherwise(F.array().cast("array<struct<k:int,vector:array<double>>>")))).alias("x"))
+    return every.select((F.col("vec_id") * 10 + F.col("x.k")).alias("id"), "x.vector")
+
+
+_MIXED = " UNION ALL ".join(f"SELECT vec_id * 10 + {k} AS id, list_transform(list_zip(v, next), lambda z: CAST({1.0 - m!r} AS DOUBLE) * z[1] + CAST({m!r} AS DOUBLE) * z[2]) AS v FROM j" + (" WHERE vec_id % 3 = 0" if k == 9 else "") for k, m in (*enumerate(MIXES), (9, 0.0)))
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), j AS (SELECT a.vec_id, a.v, b.v AS next FROM e a JOIN e b ON b.vec_id = a.vec_id + 1), x AS ({_MIXED}),
+n AS (SELECT v, min(id) AS node FROM x GROUP BY v), l AS (SELECT a.node, count(*) AS n_links FROM n a JOIN n b ON a.node <> b.node AND list_cosine_similarity(a.v, b.v) >= {linking.THRESHOLD} GROUP BY 1)
+SELECT x.id, n.node, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM x JOIN n ON x.v = n.v LEFT JOIN l ON l.node = n.node""")
+def name_links(spark, sf):
+    """Names linked by their vectors: each one's node, and how many other nodes are close."""
+    return linking.link_counts(*linking.vector_links(_name_vectors(spark, sf)))
