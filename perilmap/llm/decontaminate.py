@@ -239,12 +239,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, out_dir: str, block_char
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents without any match; each block filters what the block before has left."""
-    small_batches(docs.sparkSession)
+    """The documents without any match; each block filters what the block before has left.
+
+    What the blocks before the last have left is stored, so that one block is broadcast at a time.
+    """
+    spark, out_dir, shared = docs.sparkSession, None, None
+    small_batches(spark)
     schema = docs.schema
     at = docs.columns.index("text")
-    for index in benchmark_blocks(benchmark, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for k, index in enumerate(benchmark_blocks(benchmark, block_chars)):
+        if k:
+            out_dir = out_dir or shared_dir(spark, "clean")
+            docs = written(docs, f"{out_dir}/block{k}")
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             without_encoders()

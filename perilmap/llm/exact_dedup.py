@@ -93,7 +93,11 @@ def keyed_state(stream: DataFrame, checkpoint: str) -> DataFrame:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     state = spark.read.format("statestore").load(checkpoint)
-    first, n = (f.name for f in state.schema["value"].dataType.fields)
+    fields = state.schema["value"].dataType.fields
+    # The state names its aggregates by numbers; their types tell whether they are the two that are meant.
+    if [f.dataType.typeName() for f in fields] != ["struct", "long"]:
+        raise TypeError(f"the state of the stream has other fields than expected: {fields}")
+    first, n = (f.name for f in fields)
     return state.select(F.col("key.digest").alias("digest"), F.col("value").getField(first).alias("first"), F.col("value").getField(n).alias("n"))
 
 
