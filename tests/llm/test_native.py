@@ -390,3 +390,36 @@ def test_long_texts_of_one_shape(spark):
     out = {r["file"]: r["licence"] for r in licenses.scan(df, shared_dir(spark, "l")).collect()}
     assert out[list(LONG).index("blank lines")] == "MIT" and len(out) == len(LONG)
     assert time.monotonic() - began < 240
+
+
+def test_whole_pii_query_against_plain_patterns(spark, sf):
+    """All documents of the table: formats stay, words without personal data stay, plainly written values are gone, and the key brings all back."""
+    before = {k: spark.conf.get(k, None) for k in (pii.KEY_SETTING,)}
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    try:
+        out = pii.op8_pii(spark, sf)
+        new = {r["doc_id"]: (r["text"], r["n_values"]) for r in out.collect()}
+        back = {r["doc_id"]: r["text"] for r in pii.pseudonymised(out.drop("n_values"), KEY, undo=True).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    old = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert back == old and new.keys() == old.keys()
+    # An address keeps its four numbers, not how many digits they have.
+    shape = lambda t: re.sub("[0-9]", "0", re.sub("[a-z]", "x", re.sub("[A-Z]", "X", re.sub(r"\d{1,3}(?:\.\d{1,3}){3}", "0.0.0.0", t))))
+    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    plainly = re.compile(rf"(?<![\w.+-])[\w.+-]+(?=@[\w-]+\.[\w.-]+)|(?<!\d)\+1 \(\d{{3}}\) \d{{3}}-\d{{4}}(?!\d)|(?<![\d.]){octet}(?:\.{octet}){{3}}(?![\d.])|(?<![\d-])(?!000|666|9)\d{{3}}-(?!00)\d\d-(?!0000)\d{{4}}(?![\d-])")
+    values = 0
+    for k, text in old.items():
+        got, n = new[k]
+        if text is None:
+            assert got is None
+            continue
+        assert shape(got) == shape(text) and (n > 0) == (got != text)
+        for a, b in zip(text.split(), got.split(), strict=True):
+            if not re.search(r"[@0-9]", a) and not re.search(r"(?i)(token|passw|secret|api.?key)\W*$", text[: text.find(a)][-20:]) and "=" not in a and ":" not in a:
+                assert a == b or re.search(r"(?i)(token|passw|secret|api.?key)\s{0,3}[=:]", text)
+        for m in plainly.finditer(text):
+            values += 1
+            assert m[0] not in got or len(m[0]) < 6
+    assert values > 10 and sum(n for _, n in new.values()) >= values
