@@ -282,13 +282,14 @@ _SUB_MASK = "SELECT case_id, " + " + ".join(f'"{c}" * {1 << k}' for k, c in enum
 def _coupling_sql(mask: str, size: int, where: str) -> str:
     codes = (MAIN_BY_TYPE if size == 6 else SUB_BY_BRAND).codes
     names = ", ".join(f"CASE WHEN subset & {1 << k} <> 0 THEN '{c}' END" for k, c in enumerate(codes))
+    eps = coupling.MAIN_EPS if size == 6 else coupling.SUB_EPS
     return f"""
 WITH m AS ({mask}), st AS (SELECT mask, count(*) AS n FROM m GROUP BY mask), tot AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM st),
 b AS (SELECT range AS k FROM range({size})), m1 AS (SELECT k, sum(CASE WHEN mask & (1 << k) <> 0 THEN n ELSE 0 END) AS n1 FROM st, b GROUP BY k),
 ss AS (SELECT range AS subset FROM range(1, {1 << size}) WHERE {where}),
 j AS (SELECT subset, mask & subset AS state, CAST(sum(n) AS DOUBLE) AS n FROM st, ss GROUP BY 1, 2),
 q AS (SELECT subset, state, n, product(CASE WHEN state & (1 << k) <> 0 THEN n1 / total ELSE (total - n1) / total END) AS q FROM j, m1, tot WHERE subset & (1 << k) <> 0 GROUP BY 1, 2, 3),
-t AS (SELECT subset, sum(CASE WHEN n > 0 AND q > 0 THEN n / total * log2(n / total / q) ELSE 0 END) AS t FROM q, tot GROUP BY subset)
+t AS (SELECT subset, sum(CASE WHEN n / total > {eps} AND q > {eps} THEN n / total * log2(n / total / q) ELSE 0 END) AS t FROM q, tot GROUP BY subset)
 SELECT CAST(bit_count(subset) AS INT) AS "order", array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ',') AS factors, round(t, 9) + 0.0 AS t_value FROM t"""
 
 
