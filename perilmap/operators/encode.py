@@ -52,9 +52,3 @@ def factor_codes(names: Column, taxonomy: Taxonomy) -> Column:
 def path_codes(path: Column, taxonomy: Taxonomy, unknown: str = "UNK") -> Column:
     """Codes of the names along a path (array), space-joined; unknown names become ``unknown``."""
     return F.array_join(F.transform(path, lambda x: F.coalesce(taxonomy.code_map()[F.trim(x)], F.lit(unknown))), " ")
-
-
-def bits_to_codes(mask: Column, taxonomy: Taxonomy) -> Column:
-    """The codes of a mask's bits, in bit order, as an array."""
-    codes = F.array(*[F.when(mask.bitwiseAND(F.lit(1 << k).cast("bigint")) != 0, F.lit(c)) for k, c in enumerate(taxonomy.codes)])
-    return F.filter(codes, lambda x: x.isNotNull())

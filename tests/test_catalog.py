@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from perilmap.plans import catalog
+from perilmap.plans import catalog, charts, files, reports  # noqa: F401 - all register their queries with the catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
