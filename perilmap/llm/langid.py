@@ -20,7 +20,6 @@ read whole, in blocks; null or repeated ids keep their rows; other columns are i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
