@@ -105,16 +105,17 @@ class Index:
 
     ids: list
     items: list[bytes]
-    grams: np.ndarray
+    grams: np.ndarray  # distinct, sorted; the owners of gram g are owner[first[g] : first[g + 1]]
+    first: np.ndarray
     owner: np.ndarray
-    place: np.ndarray
     seen: np.ndarray
     edits: np.ndarray
     bound: np.ndarray
     widest: int
     overlap: int
     short: list[tuple]
-    per_item: list[tuple[np.ndarray, np.ndarray]]
+    #: Of each item its distinct grams (by number), where the places of each begin, and the places.
+    per_item: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, rows: list[tuple]) -> Index:
@@ -123,17 +124,21 @@ class Index:
         rows = [(i, f) for i, f in every if len(f) >= Q]
         items = [f for _, f in rows]
         per = [codes(np.frombuffer(f, dtype=np.uint8)) for f in items]
-        grams = np.concatenate(per) if per else np.empty(0, np.uint64)
+        grams, which = np.unique(np.concatenate(per) if per else np.empty(0, np.uint64), return_inverse=True)
         owner = np.repeat(np.arange(len(items)), [len(p) for p in per]).astype(np.int64)
-        place = np.concatenate([np.arange(len(p)) for p in per]) if per else np.empty(0, np.int64)
-        order = np.argsort(grams, kind="stable")
-        sorts = [np.argsort(p, kind="stable") for p in per]
+        owner = owner[np.argsort(which, kind="stable")]
+        per_item, at = [], 0
+        for p in per:
+            own, n = np.unique(which[at : at + len(p)], return_counts=True)
+            per_item.append((own, np.concatenate([[0], np.cumsum(n)]), np.argsort(which[at : at + len(p)], kind="stable")))
+            at += len(p)
         seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
         seen[_slot(grams)] = True
         sizes = np.array([len(f) for f in items], dtype=np.int64)
         edits = np.array([budget(len(f)) for f in items], dtype=np.int64)
         widest = int(sizes.max(initial=0))
-        return cls([i for i, _ in [*rows, *short]], items, grams[order], owner[order], place[order], seen, edits, sizes + 1 - Q - Q * edits, widest, 2 * (widest + 3 * budget(widest) + 3), short, [(p[o], o) for p, o in zip(per, sorts, strict=True)])
+        first = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(grams)))])
+        return cls([i for i, _ in [*rows, *short]], items, grams, first, owner, seen, edits, sizes + 1 - Q - Q * edits, widest, 2 * (widest + 3 * budget(widest) + 3), short, per_item)
 
     def candidates(self, data: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first band, last band) of neighbouring bands whose shared q-grams reach the bound.
@@ -144,19 +149,26 @@ class Index:
         at = np.flatnonzero(self.seen[_slot(c)])
         if not len(at):
             return
-        some = np.unique(c[at])
-        first = np.searchsorted(self.grams, some)
-        n = np.searchsorted(self.grams, some, side="right") - first
-        first, n = first[n > 0], n[n > 0]
-        if not len(n):
+        gram = np.minimum(np.searchsorted(self.grams, c[at]), len(self.grams) - 1)
+        mine = self.grams[gram] == c[at]
+        at, gram = at[mine], gram[mine]
+        if not len(at):
             return
+        some = np.unique(gram)
+        first, n = self.first[some], self.first[some + 1] - self.first[some]
         k = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         items, counts = np.unique(self.owner[k], return_counts=True)
         for j in items[counts >= self.bound[items]].tolist():
-            own, place, e = *self.per_item[j], int(self.edits[j])
-            first = np.searchsorted(own, c[at])
-            n = np.searchsorted(own, c[at], side="right") - first
-            here, first, n = at[n > 0], first[n > 0], n[n > 0]
+            own, starts, place, e = *self.per_item[j], int(self.edits[j])
+            i = np.minimum(np.searchsorted(own, gram), len(own) - 1)
+            mine = own[i] == gram
+            here, i = at[mine], i[mine]
+            first, n = starts[i], starts[i + 1] - starts[i]
+            # What a band shares lies within the item's length and the band's width of the text.
+            held = np.concatenate([[0], np.cumsum(n)])
+            before = np.searchsorted(here, here - (len(self.items[j]) - Q + 2 * (e + 1)))
+            if (held[1:] - held[before]).max() < self.bound[j]:
+                continue
             low = (int(here[0]) - int(place.max()) + self.widest) // (e + 1) - 1
             high = (int(here[-1]) - int(place.min()) + self.widest) // (e + 1)
             met = np.zeros((high - low + 1, int(place.max()) + 1), dtype=bool)
