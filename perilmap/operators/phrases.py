@@ -13,7 +13,7 @@ marks those within ``WINDOW`` words after a negation in the same clause. A negat
 part of a phrase of any scheme (``no inspection``) negates nothing else.
 
 Cases: null and empty texts have no hits; equal phrases of several codes all hit; texts that
-share an id are told apart only if their ids are; an empty rule table gives no hits.
+share an id are taken as one; an empty rule table gives no hits.
 """
 
 from __future__ import annotations
