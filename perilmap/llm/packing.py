@@ -31,6 +31,8 @@ CAPACITY = 1024
 END_ID = 2
 #: Bins at least this full are final; the rest is packed again.
 NEARLY_FULL = 1020
+#: Words a worker of the query remembers, about 200 MB; the pipeline, whose workers do more, keeps to the default.
+REMEMBERED = 1_200_000
 #: Pieces, or underfull bins, that one best-fit pass holds.
 GROUP_ITEMS = 65_536
 #: How many groups' underfull bins meet in the next round.
@@ -73,11 +75,11 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n, capacity)]
 
 
-def pack_locally(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, with_ids: bool = False) -> DataFrame:
+def pack_locally(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, with_ids: bool = False, cached_words: int = tokens.CACHED_WORDS) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with the bins of round 0."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(tokenizer)
+        enc = tokens.encoder(tokenizer, cached_words)
         base = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         made = 0
@@ -142,10 +144,10 @@ def merge_underfull(bins: DataFrame, out_dir: str, capacity: int = CAPACITY, nea
     return placed
 
 
-def pack(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = END_ID, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = END_ID, capacity: int = CAPACITY, nearly_full: int = NEARLY_FULL, with_ids: bool = False, cached_words: int = tokens.CACHED_WORDS) -> DataFrame:
     """Every piece with its sequence and place: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
     small_batches(docs.sparkSession)
-    pieces = written(pack_locally(docs, tokenizer, end_id, capacity, nearly_full, with_ids), f"{out_dir}/pieces")
+    pieces = written(pack_locally(docs, tokenizer, end_id, capacity, nearly_full, with_ids, cached_words), f"{out_dir}/pieces")
     under = pieces.filter((F.col("bin_fill") < nearly_full) & (F.col("bin_offset") == 0)).select("bin", F.col("bin_fill").alias("fill"))
     roots = merge_underfull(under, out_dir, capacity, nearly_full).select(F.col("bin").alias("b"), "root", "shift")
     out = pieces.join(roots, pieces["bin"] == roots["b"], "left").select(
@@ -158,4 +160,4 @@ def pack(docs: DataFrame, tokenizer: str, out_dir: str, end_id: int = END_ID, ca
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokens.vocabulary_path("byte_bpe_50k.json"), shared_dir(spark, "packing"))
+    return pack(table(spark, sf_dir, "documents"), tokens.vocabulary_path("byte_bpe_50k.json"), shared_dir(spark, "packing"), cached_words=REMEMBERED)

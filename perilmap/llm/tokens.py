@@ -166,9 +166,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cached_words: int = CACHED_WORDS) -> Encoder:
     """One encoder for each vocabulary and worker, kept from task to task."""
-    return Encoder(path)
+    return Encoder(path, cached_words)
 
 
 def forget() -> None:
