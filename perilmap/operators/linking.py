@@ -26,6 +26,8 @@ from .stored import stored
 
 THRESHOLD, BITS, RECALL = 0.9, 12, 1 - 1e-5
 MEMBERS = 512
+#: 64-bit numbers of a sketch that are compared first, members of a block held against the other at once, pairs whose whole sketches are.
+FIRST_WORDS, ROWS, WHOLE = 2, 64, 4096
 SEED = 20_240_229
 
 
@@ -39,6 +41,11 @@ def tables_for(threshold: float, bits: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - agreement(threshold) ** bits))
 
 
+def least_of(planes: int, p: float) -> int:
+    """In how many of ``planes`` a pair agrees at least, if it agrees in each with probability ``p``: six standard deviations below the mean."""
+    return max(0, math.floor(planes * p - 6 * math.sqrt(planes * p * (1 - p))))
+
+
 def sketches(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
     """(node, sketch, buckets) of nodes (node, vector); a bucket's last number is its table."""
 
@@ -58,8 +65,11 @@ def sketches(nodes: DataFrame, bits: int, tables: int) -> DataFrame:
     return nodes.select("node", "vector").mapInArrow(make, "node long, sketch binary, buckets array<long>")
 
 
-def close_nodes(sketched: DataFrame, bits: int, tables: int, least: int) -> DataFrame:
-    """Pairs (a, b) that share a bucket and agree in ``least`` of all planes."""
+def close_nodes(sketched: DataFrame, bits: int, tables: int, p: float) -> DataFrame:
+    """Pairs (a, b) that share a bucket and agree in as many planes as a pair that agrees in each with probability ``p``.
+
+    A pair's first planes are compared as a few 64-bit numbers; that drops nearly all others.
+    """
     banded = sketched.select(F.explode("buckets").alias("bucket"), "node", "sketch")
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parted = banded.join(sizes, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MEMBERS)))
@@ -73,24 +83,48 @@ def close_nodes(sketched: DataFrame, bits: int, tables: int, least: int) -> Data
         sizes = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
         return sizes, members.field("node").to_numpy(zero_copy_only=False), np.frombuffer(data, np.uint8).reshape(len(members), -1)
 
+    n_first = min(64 * FIRST_WORDS, bits * tables)
+    most, first_most = (n - least_of(n, p) for n in (bits * tables, n_first))
+
+    def first_words(sketches: np.ndarray) -> np.ndarray:
+        """The first ``n_first`` bits of each sketch as 64-bit numbers, a row for each number."""
+        kept = np.zeros((len(sketches), 8 * FIRST_WORDS), np.uint8)
+        kept[:, : n_first // 8] = sketches[:, : n_first // 8]
+        return np.ascontiguousarray(kept.view(np.uint64).T)
+
+    def keys_of(sketches: np.ndarray) -> np.ndarray:
+        """The bits of each table as one number, a column for each table."""
+        wide = 16 if bits <= 16 else 64
+        padded = np.zeros((len(sketches), tables, wide), np.uint8)
+        padded[:, :, :bits] = np.unpackbits(sketches, axis=1, count=bits * tables).reshape(-1, tables, bits)
+        return np.packbits(padded.reshape(len(sketches), -1), axis=1).view(np.uint16 if wide == 16 else np.uint64)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = bits * tables - least
         for b in batches:
             if not b.num_rows:
                 continue
             left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             (at1, nodes1, sketches1), (at2, nodes2, sketches2) = opened(b.column(1)), opened(b.column(2))
+            words1, words2 = first_words(sketches1), first_words(sketches2)
+            keys1, keys2 = keys_of(sketches1), keys_of(sketches2)
             for k, (table, same) in enumerate(zip((b.column(0).to_numpy() % tables).tolist(), b.column(3).to_pylist(), strict=True)):
-                n2, s2 = nodes2[at2[k] : at2[k + 1]], sketches2[at2[k] : at2[k + 1]]
-                for i in range(at1[k], at1[k + 1]):
-                    differ = s2 ^ sketches1[i]
-                    near = np.flatnonzero((np.bitwise_count(differ).sum(1) <= most) & ((n2 > nodes1[i]) if same else (n2 != nodes1[i])))
-                    if not len(near):
-                        continue
-                    shared = ~np.unpackbits(differ[near], axis=1, count=bits * tables).reshape(len(near), tables, bits).any(2)
-                    near = near[shared.argmax(1) == table]
-                    left.append(np.minimum(nodes1[i], n2[near]))
-                    right.append(np.maximum(nodes1[i], n2[near]))
+                for low in range(at1[k], at1[k + 1], ROWS):
+                    high, low2, high2 = min(low + ROWS, at1[k + 1]), at2[k], at2[k + 1]
+                    differ = np.zeros((high - low, high2 - low2), np.uint8)
+                    for x, y in zip(words1, words2, strict=True):
+                        differ += np.bitwise_count(x[low:high, None] ^ y[None, low2:high2])
+                    i, j = np.nonzero(differ <= first_most)
+                    i, j = i + low, j + low2
+                    some = nodes2[j] > nodes1[i] if same else nodes2[j] != nodes1[i]
+                    i, j = i[some], j[some]
+                    for at in range(0, len(i), WHOLE):
+                        i_, j_ = i[at : at + WHOLE], j[at : at + WHOLE]
+                        # A close pair shares many tables: where it has shared one before, it is left at once.
+                        new = ~(keys1[i_, :table] == keys2[j_, :table]).any(1)
+                        i_, j_ = i_[new], j_[new]
+                        near = np.bitwise_count(sketches1[i_] ^ sketches2[j_]).sum(1) <= most
+                        left.append(np.minimum(nodes1[i_[near]], nodes2[j_[near]]))
+                        right.append(np.maximum(nodes1[i_[near]], nodes2[j_[near]]))
             yield pa.record_batch([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
 
     return pairs.mapInArrow(compare, "a long, b long")
@@ -109,10 +143,8 @@ def vector_links(vectors: DataFrame, threshold: float = THRESHOLD, bits: int = B
     nodes = rows.filter(fine).groupBy("vector").agg(F.min("id").alias("node"))
     members = rows.filter(fine).join(nodes, "vector").select("id", "node").unionByName(rows.filter(~fine).select("id", F.col("id").alias("node")))
     tables = tables_for(threshold, bits, recall)
-    p, n = agreement(threshold), bits * tables
-    # Six standard deviations below what a pair at the threshold agrees in: one in a billion is lost.
-    least = math.floor(n * p - 6 * math.sqrt(n * p * (1 - p)))
-    near = close_nodes(stored(sketches(nodes, bits, tables)), bits, tables, least)
+    # Six standard deviations below what a pair at the threshold agrees in: one in a billion is lost by all planes, one in ten million by the first 128.
+    near = close_nodes(stored(sketches(nodes, bits, tables)), bits, tables, agreement(threshold))
     of = lambda side: nodes.select(F.col("node").alias(side), F.col("vector").alias(f"v_{side}"))
     links = near.join(of("a"), "a").join(of("b"), "b").select("a", "b", cosine(F.col("v_a"), F.col("v_b")).alias("cosine"))
     return members, links.filter(F.col("cosine") >= threshold)

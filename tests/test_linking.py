@@ -57,3 +57,20 @@ def test_no_pair_of_all_rows_is_made(spark):
     df = spark.range(10).select("id", F.array(F.rand(1), F.rand(2)).alias("vector"))
     plan = linking.vector_links(df)[1]._jdf.queryExecution().optimizedPlan().toString()
     assert "Cross" not in plan and plan.count("bucket#") > 0
+
+
+@pytest.mark.parametrize("bits", [5, 20])
+def test_first_planes_and_tables_seen_before_lose_no_pair(spark, bits):
+    """Each close pair once, from the first table that it shares, whatever the width of a table's number."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 24))
+    x = np.concatenate([base, base + rng.standard_normal((60, 24)) * 0.1, base + rng.standard_normal((60, 24)) * 0.3])
+    p, tables = linking.agreement(0.9), 40
+    sketched = linking.sketches(frame(spark, x).withColumnRenamed("id", "node"), bits, tables)
+    rows = {r["node"]: (np.unpackbits(np.frombuffer(r["sketch"], np.uint8), count=bits * tables), set(r["buckets"])) for r in sketched.collect()}
+    least = linking.least_of(bits * tables, p)
+    want = sorted((a, b) for a in rows for b in rows if a < b and (rows[a][0] == rows[b][0]).sum() >= least and rows[a][1] & rows[b][1])
+    first = linking.least_of(128, p)
+    want = [(a, b) for a, b in want if (rows[a][0] == rows[b][0])[:128].sum() >= first]
+    got = sorted((r["a"], r["b"]) for r in linking.close_nodes(sketched, bits, tables, p).collect())
+    assert got == want and len(want) > 60
