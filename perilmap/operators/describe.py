@@ -37,13 +37,23 @@ def hierarchy(labels: DataFrame) -> DataFrame:
     once at each level; ``share`` is the percent of the level above, one decimal, null for all
     and where that is 0. Repeats of a code within a case are added up before the levels are made.
     """
-    once = labels.filter("code IS NOT NULL").groupBy("case_id", "code").agg(F.count(F.lit(1)).alias("n")).withColumn("parent", parent_code(F.col("code")))
-    rows = once.rollup("parent", "code").agg(F.grouping_id().cast("int").alias("level"), F.sum("n").alias("mentions"), F.countDistinct("case_id").alias("cases"))
+    once = labels.filter("code IS NOT NULL").groupBy("case_id", "code").agg(F.count(F.lit(1)).alias("n"))
+    # A case's codes become one row, so each level counts its cases without a distinct key for each case and level in a task's memory.
+    cases = once.groupBy("case_id").agg(F.collect_list(F.struct(parent_code(F.col("code")).alias("parent"), "code", "n")).alias("xs"))
+    added = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda t, x: t + x["n"])
+    entry = lambda level, parent, code, n: F.struct(F.lit(level).alias("level"), parent.alias("parent"), code.alias("code"), n.alias("n"))
+    none, parents = F.lit(None).cast("string"), F.array_distinct(F.transform("xs", lambda x: x["parent"]))
+    levels = F.concat(
+        F.transform("xs", lambda x: entry(0, x["parent"], x["code"], x["n"])),
+        F.transform(parents, lambda p: entry(1, p, none, added(F.filter("xs", lambda x: x["parent"].eqNullSafe(p))))),
+        F.array(entry(3, none, none, added(F.col("xs")))),
+    )
+    rows = cases.select("case_id", F.explode(levels).alias("l")).groupBy("l.level", "l.parent", "l.code").agg(F.sum("l.n").alias("mentions"), F.count("case_id").alias("cases"))
     # A row for each sub-factor and parent: the windows see the taxonomy, not the cases.
     of = lambda level, w: F.max(F.when(F.col("level") == level, F.col("mentions"))).over(w)
     above = F.when(F.col("level") == 0, of(1, Window.partitionBy("parent"))).when(F.col("level") == 1, of(3, Window.partitionBy()))
     share = F.round(F.try_divide(F.col("mentions").cast("double") * 100, above.cast("double")), 1)
-    return rows.filter("mentions IS NOT NULL").select("level", "parent", "code", "mentions", "cases", share.alias("share"))
+    return rows.select("level", "parent", "code", "mentions", "cases", share.alias("share"))
 
 
 def nested_pie(levels: DataFrame) -> DataFrame:

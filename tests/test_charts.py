@@ -79,3 +79,9 @@ def test_best_walk_is_the_best_path(spark, seed):
     best = {(r["start_node"], r["end_node"]): r["p"] for r in found.groupBy("start_node", "end_node").agg(F.max("prob").alias("p")).filter("start_node <> end_node").collect()}
     paths = {(r["start_node"], r["end_node"]): r["prob"] for r in transitions.best_paths(df).collect()}
     assert best.keys() == paths.keys() and all(abs(best[k] - paths[k]) < 1e-12 for k in best)
+
+
+def test_no_row_for_each_case_and_level(spark):
+    """Cases are counted without an expansion of all rows by level: no distinct keys of cases in a task's memory."""
+    plan = describe.hierarchy(labels(spark, [(1, "H1"), (1, "H2"), (2, "H1")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
