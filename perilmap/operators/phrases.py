@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +70,14 @@ def alternatives(phrase: str) -> list[str]:
 
 
 def phrase_rules(spark: SparkSession, schemes: dict[str, dict[str, tuple[str, ...]]]) -> DataFrame:
-    """(scheme, code, phrase) of tables from code to phrases, slashes resolved."""
+    """(scheme, code, phrase) of tables from code to phrases, slashes resolved.
+
+    An Arrow table becomes a local relation, whose size Catalyst knows; rows of Python objects
+    would count as endless, and every word of every text would be shuffled to meet them.
+    """
     rows = [(s, c, a) for s, rules in schemes.items() for c, phrases in rules.items() for p in phrases for a in alternatives(p)]
-    return spark.createDataFrame(rows, "scheme string, code string, phrase string")
+    columns = zip(*rows, strict=True) if rows else [(), (), ()]
+    return spark.createDataFrame(pa.table([pa.array(c, pa.string()) for c in columns], ["scheme", "code", "phrase"]), "scheme string, code string, phrase string")
 
 
 def stem(word: Column) -> Column:

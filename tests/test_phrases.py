@@ -120,3 +120,10 @@ def test_empty_tables(spark):
     none = phrases.phrase_rules(spark, {"s": {"A": ("x",)}}).limit(0)
     assert phrases.find_phrases(frame(spark, ["poor training"]), none).count() == 0
     assert phrases.phrase_codes(phrases.find_phrases(frame(spark, ["a"]).limit(0), phrases.phrase_rules(spark, SUB))).count() == 0
+
+
+def test_rules_have_a_known_size(spark):
+    """Small rules are broadcast, so that the places of all texts aren't shuffled to meet them."""
+    rules = phrases.phrase_rules(spark, SCHEMES)
+    assert int(rules._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 100_000
+    assert phrases.phrase_rules(spark, {}).count() == 0
