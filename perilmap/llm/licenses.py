@@ -33,6 +33,8 @@ ANCHOR = r"(?i)licen[cs]|copyright|spdx|warrant|public domain|redistribut|permis
 SENTENCE_END = r"(?<![.;!?])[.;!?]++(?:\s++|$)"
 BLANK_LINES = r"\n[^\p{L}\p{N}]*\n"
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-][^/]*)?$"
+# A source that is itself such a file, in a directory that is neither the top nor a URL's scheme; collections and hosts have names like "notice-texts" too.
+LICENSE_SOURCE = r"(?i)[^:/]/(licen[cs]e|copying|unlicense|notice)(\.(txt|md|rst|html?))?$"
 
 # Licence names and the usual wording of their notices.
 TEMPLATES = (
@@ -161,7 +163,8 @@ def scan(files: DataFrame, out_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: each lies in the directory of its source and language, under its id, so none has a licence file's name."""
+    """Documents as files: each lies in the directory of its source and language, under its id; where the source is a licence file's path (``LICENSE_SOURCE``), the document is that file."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    below = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    path = F.when(F.col("source").rlike(LICENSE_SOURCE), F.col("source")).otherwise(below)
     return scan(docs.select(F.col("doc_id").cast("long").alias("file"), path.alias("path"), "text"), shared_dir(spark, "licences")).withColumnRenamed("file", "doc_id")

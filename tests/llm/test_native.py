@@ -372,6 +372,23 @@ def test_whole_scan_against_brute_force(spark, sf):
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want) and len(want) > 3
 
 
+def test_query_inherits_where_a_source_is_a_licence_file(spark, tmp_path):
+    """The query's own paths: a source that names a licence file speaks for the directory that the source lies in, and for no other."""
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [
+        (1, mit, "en", "org/repo/LICENSE"), (2, "code", "en", "org/repo/src/x.py"), (3, None, "fr", "org/repo"), (4, f"text\n{apache}", "en", "org/repo/y.py"), (5, "code", "en", "org/repository"),
+        (6, apache, None, "https://h.example/lib/COPYING.txt"), (7, "code", None, "https://h.example/lib/a/z"), (8, "code", "en", "https://h.example/z"), (9, "nothing of this kind", "en", "org/bare/LICENSE"), (10, "code", "en", "org/bare/x"),
+        # none of these is a file in a directory: names of collections, a host, the top
+        (11, mit, "en", "license"), (12, mit, "en", "https://license.example"), (13, mit, "en", "/LICENSE"), (14, mit, "en", "org/license-texts"), (15, mit, "en", "org/repo2"), (16, "code", "en", "org/repo2"), (17, "code", None, None), (18, "", "en", "/x/y"),
+    ]
+    spark.createDataFrame([(k, t, lang, src, len(t or "")) for k, t, lang, src in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = licenses.op3_license_scan(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    inherited = {r["doc_id"]: (r["licence"], r["source_dir"]) for r in out if r["origin"] == "inherited"}
+    assert inherited == {2: ("MIT", "org/repo"), 3: ("MIT", "org/repo"), 7: ("Apache-2.0", "https://h.example/lib")}
+    assert {r["doc_id"]: r["licence"] for r in out if r["origin"] == "own"} == {1: "MIT", 4: "Apache-2.0", 6: "Apache-2.0", **dict.fromkeys(range(11, 16), "MIT")}
+
+
 # --- long texts ---------------------------------------------------------------------------
 
 N = 100_000
