@@ -116,4 +116,4 @@ n AS (SELECT v, min(id) AS node FROM x GROUP BY v), l AS (SELECT a.node, count(*
 SELECT x.id, n.node, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM x JOIN n ON x.v = n.v LEFT JOIN l ON l.node = n.node""")
 def name_links(spark, sf):
     """Names linked by their vectors: each one's node, and how many other nodes are close."""
-    return linking.link_counts(*linking.vector_links(_name_vectors(spark, sf)))
+    return linking.vector_link_counts(_name_vectors(spark, sf))

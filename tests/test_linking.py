@@ -74,3 +74,44 @@ def test_first_planes_and_tables_seen_before_lose_no_pair(spark, bits):
     want = [(a, b) for a, b in want if (rows[a][0] == rows[b][0])[:128].sum() >= first]
     got = sorted((r["a"], r["b"]) for r in linking.close_nodes(sketched, bits, tables, p).collect())
     assert got == want and len(want) > 60
+
+
+@pytest.mark.parametrize(("part", "bits"), [(10**6, 6), (7, 6), (25, 20)])
+def test_numbers_of_links_in_rounds(spark, monkeypatch, part, bits):
+    """Numbers of links equal those of the list, whatever the rounds and parts of large buckets."""
+    monkeypatch.setattr(linking, "PART", part)
+    monkeypatch.setattr(linking, "ROUND_BYTES", 200_000)
+    monkeypatch.setattr(linking, "CELL_NODES", 50)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.standard_normal((1, 16)) + rng.standard_normal((60, 16)) * 0.25, rng.standard_normal((30, 16)), np.zeros((1, 16))])
+    df = frame(spark, x).unionByName(frame(spark, x[:3], 500)).repartition(3)
+    close = brute(x[:-1])
+    n = {i: sum(i in pair for pair in close) for i in range(len(x))} | {500 + i: sum(i in pair for pair in close) for i in range(3)}
+    got = {r["id"]: (r["node"], r["n_links"]) for r in linking.vector_link_counts(df, bits=bits, recall=0.999999 if bits == 6 else 0.99).collect()}
+    assert got == {i: (i % 500, k) for i, k in n.items()} and len(close) > 1000
+    _, links = linking.vector_links(df, bits=bits, recall=0.999999 if bits == 6 else 0.99)
+    rows = links.collect()
+    assert {(r["a"], r["b"]) for r in rows} == close and len(rows) == len(close)
+    exact = {(a, b): sum(p * q for p, q in zip(x[a], x[b], strict=True)) for a, b in close}
+    assert all(abs(r["cosine"] * np.linalg.norm(x[r["a"]]) * np.linalg.norm(x[r["b"]]) - exact[r["a"], r["b"]]) < 1e-9 for r in rows)
+
+
+def test_links_are_not_shuffled_with_their_vectors(spark):
+    """A dense group of 1,200 nodes has 719,400 links; where the nodes are too many for a broadcast, each link took its vectors along."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: store.executorList(False).apply(0).totalShuffleWrite()
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((1, 16)) + rng.standard_normal((1200, 16)) * 0.05
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["n_links"] for r in linking.vector_link_counts(frame(spark, x), bits=4).collect()} == {1199}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert written() - before < 8_000_000
+
+
+def test_vectors_of_several_lengths(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])], "id long, vector array<double>").coalesce(1)
+    with pytest.raises(Exception, match="vectors of"):
+        linking.vector_link_counts(df).collect()
