@@ -173,3 +173,28 @@ def test_words_in_chunks(monkeypatch):
     monkeypatch.setattr(w, "_CHUNK", 37)
     assert all((a == b).all() for a, b in zip(whole, w.word_hashes(data), strict=True))
     assert whole[0][1] == whole[0][2] and len(shingles(whole[0][:3])) == 1 and len(shingles(whole[0][:0])) == 0
+
+
+@pytest.mark.parametrize("shingles_of_a_part", [60, 10**6])
+def test_every_shingle_has_its_document_frequency(spark, monkeypatch, shingles_of_a_part):
+    """Also shingles of two documents among many, wherever their documents are at home."""
+    monkeypatch.setattr(near_dedup, "CANDIDATES", shingles_of_a_part)
+    monkeypatch.setattr(near_dedup, "COUNTED", 50)
+    rows = corpus(13)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    h, n, total = near_dedup.common_shingles(df, shared_dir(spark, "n"))
+    df_of = collections.Counter(x for _, t in rows for x in set(shingles(near_dedup.text_words(t)).tolist()))
+    assert total == len(rows) and dict(zip(h.tolist(), n.tolist(), strict=True)) == {k: v for k, v in df_of.items() if v > 1}
+    rare = [k for k, v in df_of.items() if 1 < v < len(rows) / 64]
+    weights = near_dedup.Weights(h, n, total)
+    assert rare and all(weights.idf[h.tolist().index(k)] == pytest.approx(1 + np.log(total / df_of[k]) / np.log(total)) for k in rare[:50])
+
+
+def test_a_rare_passage_of_several_documents_weighs_less_than_their_own_words(spark):
+    """Five of 400 documents share 89 of 99 shingles: 0.82 by count, 0.79 by frequencies. A shingle in fewer than 1/64 of the documents counts too."""
+    rng = random.Random(14)
+    passage = prose(rng, 93)
+    rows = [(k, passage + " " + prose(rng, 10)) for k in range(5)] + [(100 + k, prose(rng, 20)) for k in range(395)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(df, shared_dir(spark, "n")).collect()}
+    assert got == {i: i for i, _ in rows}
