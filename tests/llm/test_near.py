@@ -198,3 +198,14 @@ def test_a_rare_passage_of_several_documents_weighs_less_than_their_own_words(sp
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(df, shared_dir(spark, "n")).collect()}
     assert got == {i: i for i, _ in rows}
+
+
+def test_the_pipeline_keeps_documents_that_share_a_rare_passage(spark, sf):
+    """As above, in the pipeline's near stage: all of them stay."""
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    passage = prose(rng, 93)
+    rows = [(k, passage + " " + prose(rng, 10)) for k in range(5)] + [(100 + k, prose(rng, 20)) for k in range(395)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_stage(spark, df, sf).collect()) == sorted(i for i, _ in rows)
